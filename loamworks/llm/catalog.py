@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, tokens
+from . import leakage, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,5 +30,9 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leakage_report(leakage.leaked(table(spark, d, "documents"), items), items)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p6_counts, p7_found, p7_report)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentences(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p6_counts, p7_found, p7_report, p8_found)}
 ORACLE: dict[str, str] = {}
