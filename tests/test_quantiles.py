@@ -1,0 +1,24 @@
+import numpy as np
+
+from loamworks.operators import quantiles as q
+
+
+def test_merged_summaries_keep_their_stated_error():
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.lognormal(8, 2, 40_000), np.full(20_000, 500.0)])
+    rng.shuffle(values)
+    s = None
+    for part in np.array_split(values, 13):
+        p = q.compress(q.exact_summary(part), 500)
+        s = p if s is None else q.compress(q.merge(s, p), 500)
+    ordered = np.sort(values)
+    for share in (0.01, 0.5, 0.9, 0.99):
+        v, r = q.quantile(s, share), share * len(values)
+        low, high = np.searchsorted(ordered, v, "left"), np.searchsorted(ordered, v, "right")
+        assert low - q.rank_error(s) - 1 <= r <= high + q.rank_error(s) + 1
+
+
+def test_small_groups_are_exact():
+    s = q.exact_summary(np.array([3.0, 1.0, 2.0, 2.0]))
+    assert q.rank_error(s) == 0
+    assert [q.quantile(s, x) for x in (0.0, 0.5, 1.0)] == [1.0, 2.0, 3.0]
