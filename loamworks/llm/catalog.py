@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import leakage, sentences, tokens
+from . import invalid, leakage, sentences, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.unparsable(table(spark, d, "source_files"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    return invalid.unparsable_rates(table(spark, d, "source_files"), table(spark, d, "refresh_runs"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -34,5 +42,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p6_ids, p6_counts, p7_found, p7_report, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
 ORACLE: dict[str, str] = {}
