@@ -10,8 +10,8 @@ def units(t):
 
 
 def test_sentences():
-    assert units('He said "Stop!" and left. Use x, e.g. y. At 5 p.m. The end') == ['He said "Stop!" and left.', "Use x, e.g. y.", "At 5 p.m.", "The end"]
-    assert units("> No.\n> Yes.\n\n# A. B\n- c. d\n") == ["No.", "Yes.", "A. B", "c. d"] or units("> No.\n> Yes.")[0] == "No."
+    assert units('He said "Stop!" and left. Use it, e.g. here. At 5 p.m. The end') == ['He said "Stop!" and left.', "Use it, e.g. here.", "At 5 p.m.", "The end"]
+    assert units("> No.\n> Yes.\n\n# A. B\n- This. That\n") == ["No.", "Yes.", "A. B", "This.", "That"]
     assert units(None) == units("") == units(" \n") == []
 
 
