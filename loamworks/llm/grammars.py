@@ -318,8 +318,9 @@ exprs <- operand ((infix / ',') operand / suffix)*
 expr <- operand (infix operand / suffix)*
 infix <- binop / asg / '?' mid ':'
 suffix <- NEVER
-mid <- moperand ((binop / asg / '?' mmid ':') moperand)*
-mmid <- moperand ((binop / asg) moperand)*
+mid <- moperand ((binop / asg / '?' mmid ':') moperand / msuffix)*
+mmid <- moperand ((binop / asg) moperand / msuffix)*
+msuffix <- NEVER
 binop <- '||' / '&&' / '??' / '|' / '^' / '&' / '===' / '!==' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>'? '>'? / 'instanceof' / 'in' / '+' / '-' / '**' / '*' / '/' / '%'
 asg <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
 operand <- (prefix / arrow !{block})* (arrow {block} / primary postfix* / 'yield')
@@ -329,8 +330,8 @@ prefix0 <- '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' /
 cast <- NEVER
 arrow <- 'async'? (name / <tparams>? (params) ret?) ~'=>'
 marrow <- 'async'? (name / (params)) ~'=>'
-primary <- name / NUM / STR / TEMPLATE / REGEX / 'this' / 'super' / 'null' / 'true' / 'false' / (exprs) / [array] / {object} / 'async'? 'function' '*'? name? <tparams>? (params) ret? {block} / 'class' (!'extends' name)? classrest / 'import' ((args) / '.' anyname) / 'new' '.' anyname / PRIV
-mprimary <- name / NUM / STR / TEMPLATE / REGEX / 'this' / 'super' / 'null' / 'true' / 'false' / (exprs) / [array] / {object} / 'async'? 'function' '*'? name? (params) {block} / 'import' ((args) / '.' anyname) / 'new' '.' anyname / PRIV
+primary <- 'async' ~'function' '*'? name? <tparams>? (params) ret? {block} / name / NUM / STR / TEMPLATE / REGEX / 'this' / 'super' / 'null' / 'true' / 'false' / (exprs) / [array] / {object} / 'function' '*'? name? <tparams>? (params) ret? {block} / deco* 'class' (!('extends' / 'implements') name)? classrest / 'import' ((args) / '.' anyname) / 'new' '.' anyname / PRIV
+mprimary <- 'async' ~'function' '*'? name? (params) {block} / name / NUM / STR / TEMPLATE / REGEX / 'this' / 'super' / 'null' / 'true' / 'false' / (exprs) / [array] / {object} / 'function' '*'? name? (params) {block} / 'import' ((args) / '.' anyname) / 'new' '.' anyname / PRIV
 postfix <- '.' (anyname / PRIV) / '?.' (anyname / PRIV / (args) / [exprs]) / <targs>? (args) / [exprs] / TEMPLATE / ~'++' / ~'--' / nonnull
 nonnull <- NEVER
 args <- ('...'? operand ((infix / ',' '...'?) operand / suffix)* ','?)?
@@ -340,7 +341,7 @@ prop <- '...' expr / ('get' / 'set') key (params) ret? {block} / ('async' &(key
 params <- (param (',' param)* ','?)?
 param <- deco* (tsmod &binding)* '...'? (binding / 'this') '?'? ann? ('=' expr)?
 name <- ID / 'async' / 'of' / 'get' / 'set' / 'static' / 'as' / 'from' / 'accessor' / 'await' / tsname
-tsname <- 'type' / 'abstract' / 'declare' / 'readonly' / 'namespace' / 'module' / 'is' / 'keyof' / 'infer' / 'asserts' / 'satisfies' / 'unique' / 'override' / 'global' / 'public' / 'private' / 'protected' / 'interface' / 'implements' / 'out' / 'let'
+tsname <- 'type' / 'abstract' / 'declare' / 'readonly' / 'namespace' / 'module' / 'is' / 'keyof' / 'infer' / 'asserts' / 'satisfies' / 'unique' / 'override' / 'global' / 'require' / 'assert' / 'using' / 'public' / 'private' / 'protected' / 'interface' / 'implements' / 'out' / 'let'
 anyname <- name / 'if' / 'else' / 'while' / 'for' / 'with' / 'return' / 'throw' / 'break' / 'continue' / 'debugger' / 'try' / 'catch' / 'finally' / 'switch' / 'case' / 'default' / 'do' / 'const' / 'var' / 'function' / 'class' / 'extends' / 'instanceof' / 'in' / 'typeof' / 'void' / 'delete' / 'yield' / 'new' / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' / 'export' / 'enum'
 ann <- NEVER
 ret <- NEVER
@@ -353,18 +354,23 @@ _TYPES = """
 module <- importing / exporting
 importing <- 'import' STR attrs? eos / 'import' ('type' !'from' !',')? name '=' ('require' (args) / name ('.' anyname)*) eos / 'import' ('type' &(name / {specs} / '*'))? ({specs} / '*' 'as' name / name (',' ({specs} / '*' 'as' name))?) 'from' STR attrs? eos
 attrs <- ('with' / 'assert') {object}
-exporting <- 'export' ('default' ('async'? 'function' '*'? name? <tparams>? (params) ret? ({block} / eos) / 'abstract'? 'class' (!'extends' name)? classrest / &'interface' typed / expr eos) / '*' ('as' (anyname / STR))? 'from' STR attrs? eos / 'type'? {specs} ('from' STR attrs?)? eos / '=' exprs eos / 'as' 'namespace' name eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'declare' / 'abstract' / 'class' / 'let' / 'var' / 'function' / 'async' / '@'))
+exporting <- deco* 'export' ('default' ('async'? 'function' '*'? name? <tparams>? (params) ret? ({block} / eos) / 'abstract'? 'class' (!'extends' name)? classrest / &'interface' typed / expr eos) / '*' ('as' (anyname / STR))? 'from' STR attrs? eos / 'type' '*' ('as' (anyname / STR))? 'from' STR attrs? eos / 'type'? {specs} ('from' STR attrs?)? eos / '=' exprs eos / 'as' 'namespace' name eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'declare' / 'abstract' / 'class' / 'let' / 'var' / 'function' / 'async' / '@'))
 specs <- (spec (',' spec)* ','?)?
 spec <- 'type' (anyname / STR) ('as' (anyname / STR))? / (anyname / STR) ('as' (anyname / STR))?
 overload <- eos
+vars <- 'const' !'enum' cvar (',' cvar)* / ('var' / 'let' / 'await'? 'using' !NEWLINE &using) var (',' var)*
+using <- !('in' / 'of' / 'instanceof' / 'as' / 'satisfies') name
+cvar <- binding ann? ('=' expr)?
+forhead <- (('var' / 'let' / 'const' / 'await'? 'using' &using) binding / target) ('of' / 'in') exprs / (vars / exprs)? ';' exprs? ';' exprs?
 implements <- 'implements' type (',' type)*
 tsmod <- 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'override' / 'declare'
 suffix <- 'as' ('const' / type) / 'satisfies' type
+msuffix <- ('as' / 'satisfies') ('const' / tatom (~[typeindex])*)
 cast <- <targs>
 nonnull <- ~'!' !'='
 ann <- ':' type
 ret <- ':' ('asserts' name ('is' type)? / ('this' / name) 'is' type / type)
-typed <- 'interface' name <tparams>? ('extends' type (',' type)*)? {typebody} / 'type' name <tparams>? '=' type eos / 'const'? 'enum' name {enumbody} / ('namespace' / 'module') (name ('.' name)* / STR) ({nsbody} / eos) / 'declare' ('global' {nsbody} / ('var' / 'let' / 'const') dvar (',' dvar)* eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'abstract' / 'class' / 'function' / 'async'))
+typed <- 'interface' name <tparams>? ('extends' type (',' type)*)? {typebody} / 'type' name <tparams>? '=' type eos / 'const'? 'enum' name {enumbody} / ('namespace' / 'module') (name ('.' name)* / STR) ({nsbody} / eos) / 'global' {nsbody} / 'declare' ('global' {nsbody} / ('var' / 'let' / 'const') dvar (',' dvar)* eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'abstract' / 'class' / 'function' / 'async'))
 dvar <- name ann?
 enumbody <- (key ('=' expr)? (',' key ('=' expr)?)* ','?)?
 type <- ('|' / '&')? tunit (('|' / '&') tunit / 'extends' tor '?' tor ':' tunit)*
@@ -372,7 +378,7 @@ tor <- tunit (('|' / '&') tunit)*
 tunit <- tprefix* tatom (~[typeindex])*
 tprefix <- ('keyof' / 'readonly' / 'unique' / 'infer' / 'typeof') &tstart / 'abstract'? 'new'? <tparams>? (params) '=>' (('asserts'? (name / 'this') 'is') &tstart)?
 tstart <- anyname / STR / NUM / TEMPLATE / (types) / (params) / [types] / {typebody} / <tparams>
-tatom <- ('void' / 'null' / 'true' / 'false' / 'this' / 'import' (args) / name) ('.' anyname)* <targs>? / STR / '-'? NUM / TEMPLATE / (types) / [types] / {typebody}
+tatom <- 'asserts' !NEWLINE (name / 'this') / ('void' / 'null' / 'true' / 'false' / 'this' / 'import' (args) / name) ('.' anyname)* <targs>? / STR / '-'? NUM / TEMPLATE / (types) / [types] / {typebody}
 types <- (titem (',' titem)* ','?)?
 titem <- '...'? (name '?'? ':' type / type '?'?)
 typeindex <- type?
@@ -388,7 +394,7 @@ _JS_REGEX = r"/(?![/*])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*"
 _JS_BEFORE_REGEX = r"&&|\|\||\?\?|=>|[!=]==?|[<>]=?|[-+*%&|^]=|[=(,:;!?{\[~&|^+\-*%]|\b(?:return|typeof|case|in|of|delete|void|throw|do|else|instanceof|yield|await)\b"
 _JS_TOKENS = re.compile(
     r"//[^\r\n\u2028\u2029]*|/\*.*?\*/|\r\n|[\n\r\u2028\u2029]"
-    rf"|(?:{_JS_BEFORE_REGEX})[ \t]*{_JS_REGEX}|(?<=\n)[ \t]*{_JS_REGEX}(?=\s*\.)"
+    rf"|(?:{_JS_BEFORE_REGEX})(?:\s|//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+{_JS_REGEX}|(?<=\n)[ \t]*{_JS_REGEX}(?=\s*\.)"
     r"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`\"']|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\})*\})*`"
     r"|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'"
     rf"|\#?{_JS_ID}"
@@ -448,24 +454,31 @@ class ScriptParser(Parser):
         self.typed = typed
         if typed:
             c = g.code
-            inside = "".join(map(c, ("ID", "STR", "NUM", "TEMPLATE", ".", ",", "|", "&", "?", ":", "=", "=>", "...", "-", "extends", "keyof", "typeof", "readonly", "infer", "void", "null", "true", "false", "this", "is", "in", "out", "const", "new", "import", "unique", "type", "from", "of", "as", "get", "set", "async", "static", "declare", "module", "abstract")))
-            groups = "-" + chr(0xEBFF)
-            follow = "".join(map(c, (",", ";", ":", "=", ".", "|", "&", "?", "=>", ">", "extends", "implements", "TEMPLATE", "!", "&&", "||", "===", "is", "as")))
-            self.generic = re.compile(rf"{c('<')}([{re.escape(inside)}{groups}-\n]*){c('>')}(?=[\n{re.escape(follow)}{groups}-]|\Z)")
+            apart = "".join(map(c, ("<", ">", ";", "+", "*", "/", "%", "^", "!", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "<<", "++", "--", "+=", "-=", "**", ">>=", ">>>=", "REGEX")))
+            follow = "".join(map(c, (",", ";", ":", "=", ".", "?.", "|", "&", "?", "=>", ">", "extends", "implements", "TEMPLATE", "!", "&&", "||", "??", "==", "===", "!=", "!==", "is", "as", "satisfies", "in", "of", "instanceof")))
+            groups = f"{chr(BASE['('])}-{chr(BASE['<'] + (1 << len(g.bits['<'])) - 1)}"
+            self.generic = re.compile(rf"{c('<')}([^{re.escape(apart)}]*){c('>')}(?=[\n{re.escape(follow)}{groups}]|\Z)")
+            names = "".join(map(c, ("ID", ".")))
+            self.assigned = re.compile(rf"([{re.escape(''.join(map(c, (':', '|', '&', 'type', 'extends'))))}]\n*[{re.escape(names)}]+){c('<')}([^{re.escape(apart)}]*)([{c('>=')}{c('>>=')}{c('>>>=')}])")
+            self.left = {c(">="): c("="), c(">>="): c(">="), c(">>>="): c(">>=")}
 
     def _generics(self, shape: str) -> str:
         if not self.typed or self.g.codes["<"] not in shape:
             return shape
 
-        def one(m: re.Match) -> str:
-            key = "<" + m[1]
+        def one(inner: str) -> str:
+            key = "<" + inner
             code = self.memo.get(key)
             if code is None:
-                bits = sum(bit for bit, matcher in self.matchers["<"] if matcher.match(m[1]))
+                bits = sum(bit for bit, matcher in self.matchers["<"] if matcher.match(inner))
                 code = self.memo[key] = chr(BASE["<"] + bits) if bits else ""
-            return code or m[0]
+            return code
 
-        while (out := self.generic.sub(one, shape)) != shape:
+        def assigned(m: re.Match) -> str:
+            code = one(m[2])
+            return m[1] + code + self.left[m[3]] if code else m[0]
+
+        while (out := self.assigned.sub(assigned, self.generic.sub(lambda m: one(m[1]) or m[0], shape))) != shape:
             shape = out
         return shape
 

@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..session import ship
-from .grammars import PARSERS as _ALL
-from .grammars import parser
-
-#: TypeScript is left out: its grammar still refuses most valid files.
-PARSERS = [e for e in _ALL if e != ".ts"]
+from .grammars import PARSERS, parser
 
 
 def is_case(ext: str, body: str | None) -> bool:
