@@ -414,6 +414,8 @@ _FORMS = {"block": re.compile(rf"(?:{_STATEMENT})*+\Z"), "cases": re.compile(rf"
 class ScriptParser(Parser):
     """JavaScript or TypeScript; in the latter, type arguments count as brackets where types may stand."""
 
+    #: Type arguments whose closing bracket is the beginning of an assignment's token; TypeScript only.
+    assigned: re.Pattern | None = None
     pieces = _FORMS
     piece_rules = {"m": "module", "i": "p_if", "e": "p_else", "l": "loop", "d": "p_do", "k": "p_case", "c": "core"}
 
@@ -478,9 +480,13 @@ class ScriptParser(Parser):
             code = one(m[2])
             return m[1] + code + self.left[m[3]] if code else m[0]
 
-        while (out := self.assigned.sub(assigned, self.generic.sub(lambda m: one(m[1]) or m[0], shape))) != shape:
+        while True:
+            out = self.generic.sub(lambda m: one(m[1]) or m[0], shape)
+            if self.assigned:
+                out = self.assigned.sub(assigned, out)
+            if out == shape:
+                return shape
             shape = out
-        return shape
 
     def inside(self, shape: str) -> str:
         return self._generics(shape)

@@ -16,3 +16,7 @@ def test_typescript_is_counted(spark):
     runs = spark.createDataFrame([], "repository string, failed long, finished_at timestamp")
     assert [r.file_id for r in unparsable(files).collect()] == [2]
     assert [(r.ext, r.files, r.unparsable) for r in unparsable_rates(files, runs).collect()] == [(".ts", 2, 1)]
+
+
+def test_java_type_arguments():
+    assert parser(".java").valid("class A { List<Integer> m; }")
