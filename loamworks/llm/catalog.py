@@ -20,6 +20,11 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return invalid.unparsable_rates(table(spark, d, "source_files"), table(spark, d, "refresh_runs"))
 
 
+def p5_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Place and cause of each failure."""
+    return invalid.failures(table(spark, d, "source_files")).drop("status")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -42,5 +47,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_failures, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
 ORACLE: dict[str, str] = {}

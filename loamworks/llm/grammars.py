@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-from .peg import BASE, ERROR, NEWLINE, Failure, Grammar, Parser, Tokens
+from .peg import BASE, END, ERROR, NEWLINE, REMEMBERED, Grammar, Parser
 
 _CJK_FREE_ID = r"[^\W\d]\w*"
+#: A byte order mark at the beginning counts for nothing, but in JSON, which allows none.
+MARK = "\ufeff"
 
 # ---------------------------------------------------------------------------------------------------------------- JSON
 
@@ -37,12 +40,14 @@ def json_parser() -> Parser:
 
 PYTHON = """
 start <- simple (';' simple)* ';'?
-simple <- assign / exprs / yieldexpr / 'return' exprs? / 'pass' / 'break' / 'continue' / importing / 'raise' (expr ('from' expr)?)? / 'assert' expr (',' expr)? / ('global' / 'nonlocal') name (',' name)* / 'del' primary (',' primary)* ','? / 'type' name [typarams]? '=' expr
-assign <- target ':' expr ('=' rhs)? / target augop rhs / (targets '=' !'=')+ rhs
+simple <- assign / exprs / yieldexpr / 'return' exprs? / 'pass' / 'break' / 'continue' / importing / 'raise' (expr ('from' expr)?)? / 'assert' expr (',' expr)? / ('global' / 'nonlocal') name (',' name)* / 'del' target (',' target)* ','? / 'type' name [typarams]? '=' expr
+assign <- target ':' expr ('=' rhs)? / augtarget augop rhs / (targets '=' !'=')+ rhs
 augop <- '+=' / '-=' / '*=' / '/=' / '//=' / '%=' / '@=' / '&=' / '|=' / '^=' / '>>=' / '<<=' / '**='
 rhs <- yieldexpr / exprs
 yieldexpr <- 'yield' ('from' expr / exprs)?
 target <- (name / (paren) / [list]) ((args)* ('.' name / [index]))*
+augtarget <- (name / (single)) ((args)* ('.' name / [index]))* / [list] ((args)* ('.' name / [index]))+
+single <- primary
 targets <- '*'? target (',' '*'? target)* ','?
 importing <- 'import' dotted ('as' name)? (',' dotted ('as' name)?)* / 'from' (('.' / '...')+ dotted? / dotted) 'import' ('*' / (imported) / oneimport (',' oneimport)*)
 imported <- oneimport (',' oneimport)* ','?
@@ -53,29 +58,28 @@ exprs <- starexpr (',' starexpr)* ','?
 starexpr <- '*' disj / expr
 named <- name ':=' expr / expr
 starnamed <- '*' disj / named
-expr <- lam* disj ('if' lam* disj 'else' lam* disj)*
-lam <- 'lambda' (lparam (',' lparam)* ','?)? ':'
-lparam <- '**' name / '*' name? / '/' / name ('=' disj)?
+expr <- 'lambda' (lparam (',' lparam)* ','?)? ':' expr / disj ('if' disj 'else' expr)?
+lparam <- '**' name / '*' name? / '/' / name ('=' expr)?
 disj <- unit (op unit)*
 unit <- ('not' / '-' / '+' / '~' / 'await')* primary
 op <- 'or' / 'and' / '==' / '!=' / '<=' / '>=' / '<' / '>' / 'not' 'in' / 'in' / 'is' 'not'? / '**' / '*' / '//' / '/' / '%' / '@' / '+' / '-' / '<<' / '>>' / '&' / '|' / '^'
 primary <- atom ('.' name / (args) / [index])*
-atom <- name / NUM / STR+ / '...' / 'None' / 'True' / 'False' / (paren) / [list] / {braces}
+atom <- name / NUM / STR+ / BYTES+ / '...' / 'None' / 'True' / 'False' / (paren) / [list] / {braces}
 paren <- (yieldexpr / named compfor / starnamed (',' starnamed)* ','?)?
 list <- (named compfor / starnamed (',' starnamed)* ','?)?
 braces <- ('**' disj / expr ':' expr) (',' ('**' disj / expr ':' expr))* ','? / expr ':' expr compfor / named compfor / (starnamed (',' starnamed)* ','?)?
-compfor <- ('async'? 'for' fortargets 'in' lam* disj ('if' lam* named_disj)*)+
-named_disj <- name ':=' disj / disj
+compfor <- ('async'? 'for' fortargets 'in' disj ('if' disj)*)+
 fortargets <- '*'? primary (',' '*'? primary)* ','?
-args <- posarg compfor / (posarg (',' posarg)* (',' kwarg)* ','? / kwarg (',' kwarg)* ','?)?
+args <- posarg compfor / (posarg (',' posarg)* (',' kwarg)* (',' kwlast)* ','? / kwarg (',' kwarg)* (',' kwlast)* ','? / kwlast (',' kwlast)* ','?)?
 posarg <- '*' expr / name ':=' expr / !(name '=' !'=') expr
-kwarg <- name '=' expr / '**' expr / '*' expr
+kwarg <- name '=' expr / '*' expr
+kwlast <- name '=' expr / '**' expr
 index <- slice (',' slice)* ','?
 slice <- '*' disj / expr? ':' expr? (':' expr?)? / named
-params <- ((pn (',' pn)* (',' pd)* / pd (',' pd)*) (',' star)? ','? / star ','?)?
+params <- (!'/' (pn (',' pn)* (',' pd)* / pd (',' pd)*) (',' star)? ','? / star ','?)?
 pn <- '/' / name ann? !'='
 pd <- '/' / name ann? '=' expr
-star <- '*' (name (':' starexpr)?)? (',' name ann? ('=' expr)?)* (',' '**' name ann?)? / '**' name ann?
+star <- '*' (name (':' starexpr)? / &(',' name)) (',' name ann? ('=' expr)?)* (',' '**' name ann?)? / '**' name ann?
 ann <- ':' expr
 typarams <- typaram (',' typaram)* ','?
 typaram <- ('*' / '**')? name ann? ('=' expr)?
@@ -98,14 +102,15 @@ h_case <- 'case' pattern (',' pattern)* ','? ('if' named)? ':'
 pattern <- ('*' name / '-'? patom) (('|' / '+' / '-') '-'? patom)* ('as' name)?
 patom <- primary / (patterns) / [patterns]
 patterns <- (pattern (',' pattern)* ','?)?
+field <- yieldexpr '='? / exprs '='?
 """
 #: The second level: lines by what they are, and suites as groups.
 PYTHON_SUITES = """
 start <- statement*
 suite <- statement+
-statement <- 's' / 'f' body ('e' body)* ('l' body)? / ('w' / 'r') body ('l' body)? / 't' body (('x' body)+ / ('X' body)+) ('l' body)? ('y' body)? / 't' body 'y' body / 'W' body / '@'* 'd' body / 'm' <cases>
+statement <- 's' / 'f' body ('e' body)* ('l' body)? / ('w' / 'r') body ('l' body)? / 't' body (('x' body)+ / ('X' body)+) ('l' body)? ('y' body)? / 't' body 'y' body / 'W' body / '@'* 'd' body / 'm' {cases}
 cases <- ('c' body)+
-body <- <suite> / 'B'
+body <- {suite} / 'B'
 """
 _PY_KINDS = {"h_if": "f", "h_elif": "e", "h_else": "l", "h_while": "w", "h_for": "r", "h_try": "t", "h_except": "x", "h_group": "X", "h_finally": "y", "h_with": "W", "h_def": "d", "h_decorator": "@", "h_match": "m", "h_case": "c"}
 _PY_KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
@@ -119,8 +124,10 @@ _PY_TOKENS = re.compile(
     r"|\#[^\r\n]*|\\(?:\r\n|\n)|\*\*=?|//=?|>>=?|<<=?|->|:=|\.\.\.|[!=<>]=|[-+*/%@&|^]=?|[<>~.,:;=(){}\[\]]|[^ \t\f]",
     re.S,
 )
-_PY_INDENT = 0xEC00
-_PY_LINE = re.compile(f"[{chr(_PY_INDENT)}-{chr(_PY_INDENT + 0x3FF)}]")
+#: Indents are codes of a plane of their own, each standing for the white space as written.
+_PY_INDENT, _PY_INDENTS = 0xF0000, 0x1FFFE
+_PY_LINE = re.compile(f"[{chr(_PY_INDENT)}-{chr(_PY_INDENT + _PY_INDENTS - 1)}]")
+_PY_FIELD_END = re.compile(r"[()\[\]{}\"'!:=]")
 
 
 class PythonParser(Parser):
@@ -130,84 +137,163 @@ class PythonParser(Parser):
 
     def __init__(self) -> None:
         g = Grammar(PYTHON)
-        string, number, name = g.code("STR"), g.code("NUM"), g.code("ID")
+        string, octets, number, name = g.code("STR"), g.code("BYTES"), g.code("NUM"), g.code("ID")
         zeros = re.compile(r"0[0-9_]*[1-9][0-9_]*\Z")
+        self.widths: list[tuple[int, int]] = []
+        self.indents: dict[str, str] = {}
 
         def classify(token: str) -> str:
             c = token[0]
             if c in "\r\n":
-                last = re.split(r"[\r\n]", token)[-1]
-                return chr(_PY_INDENT + min(0x3FF, len(last.partition("#")[0].expandtabs(8)))) if "#" not in last else chr(_PY_INDENT)
+                return self.indent(re.split(r"[\r\n]", token)[-1])
             if c in "#\\":
                 return "" if len(token) > 1 or c == "#" else ERROR
             if token[-1] in "\"'" and len(token) > 1:
-                return string
+                prefix = token[: re.search("[\"']", token).start()].lower()
+                if "b" in prefix:
+                    return octets if token.isascii() else ERROR
+                return string if "f" not in prefix or self.fields(token, "r" in prefix) else ERROR
             if c.isdigit() or (c == "." and len(token) > 1):
                 return ERROR if zeros.match(token) or not c.isascii() else number
             return name if token.isidentifier() else ERROR
 
         super().__init__(g, _PY_TOKENS, classify, keywords=_PY_KEYWORDS)
-        self.lines: dict[str, str] = {}
-        self.heads = [(k, re.compile(g.source(r))) for r, k in _PY_KINDS.items()]
+        self.shapes: dict[str, str] = {}
         suites = Grammar(PYTHON_SUITES)
         for k in "sfelwrtxXyW@dmcB":
             suites.code(k)
-        self.kinds = suites.codes
-        self.suites = suites
-        self.suite_bits = [(1 << i, re.compile(suites.source(r) + r"\Z")) for i, r in enumerate(suites.bits["<"])]
-        self.file = re.compile(suites.source("start") + r"\Z")
+        self.kinds, self.suites = suites.codes, suites
         self.suite_memo: dict[str, str] = {}
 
+    def indent(self, line: str) -> str:
+        """Code of the white space that a line begins with; its widths are counted with tabs to 8 columns and to 1."""
+        space = "" if "#" in line else line.rpartition("\f")[2]
+        if space not in self.indents:
+            self.indents[space] = chr(_PY_INDENT + len(self.widths))
+            self.widths.append((len(space.expandtabs(8)), len(space)))
+        return self.indents[space]
+
+    def fields(self, token: str, raw: bool) -> bool:
+        """Are the replacement fields of a formatted string expressions?"""
+        start = re.search("[\"']+", token)
+        quote = 3 if len(start[0]) >= 3 and len(token) >= start.start() + 6 else 1
+        return self._pieces(token, start.start() + quote, len(token) - quote, raw, False)
+
+    def _pieces(self, t: str, i: int, end: int, raw: bool, spec: bool) -> bool:
+        while i < end:
+            c = t[i]
+            if c == "\\" and not raw:
+                named = t.startswith("\\N{", i)
+                i = t.find("}", i) + 1 if named and t.find("}", i) >= 0 else i + 2
+            elif c in "{}" and not spec and t[i + 1 : i + 2] == c:
+                i += 2
+            elif c == "}":
+                return False
+            elif c == "{":
+                i = self._field(t, i + 1, end, raw)
+                if i < 0:
+                    return False
+            else:
+                i += 1
+        return True
+
+    def _field(self, t: str, i: int, end: int, raw: bool) -> int:
+        """The end of the field whose inside begins at ``i``, or -1."""
+        depth, at = 0, i
+        while True:
+            m = _PY_FIELD_END.search(t, at, end)
+            if m is None:
+                return -1
+            c, at = m[0], m.end()
+            if c in "([{":
+                depth += 1
+            elif c in ")]}" and depth:
+                depth -= 1
+            elif c in "\"'":
+                long = t.startswith(c * 3, m.start())
+                close = t.find(c * 3 if long else c, at + 2 if long else at, end)
+                if close < 0:
+                    return -1
+                at = close + (3 if long else 1)
+            elif depth or c == "=" or (c == "!" and t[at : at + 1] == "="):
+                continue
+            else:
+                break
+        codes = super().codes(t[i : m.start()])
+        reduced = ERROR if ERROR in codes else self.reduce(codes)
+        if ERROR in reduced or not self.g.matches("field", self.inside(reduced)):
+            return -1
+        if c == "!":
+            kind = re.compile(r"[rsa][ \t]*(?=[:}])").match(t, at, end)
+            if kind is None:
+                return -1
+            c, at = t[kind.end()], kind.end() + 1
+        if c == ":":  # the format may hold fields, but no braces else
+            start, depth = at, 0
+            while at < end and (depth or t[at] != "}"):
+                depth += (t[at] == "{") - (t[at] == "}")
+                at += 1
+            return at + 1 if at < end and self._pieces(t, start, at, raw, True) else -1
+        return at if c == "}" else -1
+
     def codes(self, text: str) -> str:
-        return super().codes("\n" + text.removeprefix(""))
+        if len(self.widths) > _PY_INDENTS // 2:
+            self.widths.clear(), self.indents.clear(), self.table.clear(), self.memo.clear()
+            self.table.update(self.table.fixed)
+        return super().codes("\n" + text.removeprefix(MARK))
 
-    def places(self, text: str) -> tuple[str, list[int]]:
-        shift = 2 if text[:1] == "" else 1
-        codes, at = super().places("\n" + text.removeprefix(""))
-        return codes, [max(0, x - 2 + shift - (shift == 1) * 0) if shift == 2 else max(0, x - 1) for x in at]
+    def places(self, text: str) -> Iterator[tuple[str, int]]:
+        body = text.removeprefix(MARK)
+        shift = len(text) - len(body) - 1
+        for c, x in super().places("\n" + body):
+            yield c, max(0, x + shift)
 
     def line_kind(self, shape: str) -> str:
         """Kinds of a logical line: a simple statement, a header, or a header with its suite; empty if no rule matches."""
-        kind = self.lines.get(shape)
+        kind = self.shapes.get(shape)
         if kind is None:
             kind = ""
-            if self.start_match.match(shape):
+            if self.g.matches("start", shape):
                 kind = self.kinds["s"]
             else:
-                for k, head in self.heads:
-                    if m := head.match(shape):
-                        rest = shape[m.end() :]
-                        if not rest:
+                f = self.g.functions()
+                for rule, k in _PY_KINDS.items():
+                    f["begin"](shape + END + END)
+                    end = f["r_" + rule](0)
+                    if end >= 0:
+                        if end == len(shape):
                             kind = self.kinds[k]
-                        elif k not in "@m" and self.start_match.match(rest):
+                        elif k not in "@m" and self.g.matches("start", shape[end:]):
                             kind = self.kinds[k] + self.kinds["B"]
                         if kind:
                             break
-            if len(self.lines) > 200_000:
-                self.lines.clear()
-            self.lines[shape] = kind
+            if len(self.shapes) > REMEMBERED:
+                self.shapes.clear()
+            self.shapes[shape] = kind
         return kind
 
-    def _logical(self, codes: str) -> list[tuple[int, str]]:
+    def _logical(self, codes: str) -> list[tuple[tuple[int, int], str]]:
         parts = _PY_LINE.split(codes)
         marks = _PY_LINE.findall(codes)
-        return [(ord(m) - _PY_INDENT, p) for m, p in zip(marks, parts[1:], strict=True) if p]
+        return [(self.widths[ord(m) - _PY_INDENT], p) for m, p in zip(marks, parts[1:], strict=True) if p]
 
     def _suite(self, inner: str) -> str:
         code = self.suite_memo.get(inner)
         if code is None:
-            bits = sum(bit for bit, matcher in self.suite_bits if matcher.match(inner))
-            code = chr(BASE["<"] + bits) if bits else ERROR
+            bits = sum(1 << i for i, r in enumerate(self.suites.bits["{"]) if self.suites.matches(r, inner))
+            code = chr(BASE["{"] + bits) if bits else ERROR
             if len(inner) < 200:
+                if len(self.suite_memo) > REMEMBERED:
+                    self.suite_memo.clear()
                 self.suite_memo[inner] = code
         return code
 
     def accepts(self, codes: str) -> bool:
         return self._walk(self._logical(codes)) is None
 
-    def _walk(self, lines: list[tuple[int, str]]) -> tuple[int, str] | None:
+    def _walk(self, lines: list[tuple[tuple[int, int], str]]) -> tuple[int, str] | None:
         """Index of the first line at which no statement goes on, and why; None if all do."""
-        indents, open_suites, starts = [0], [[]], [0]
+        indents, open_suites, starts = [(0, 0)], [[]], [0]
 
         def close(i: int) -> tuple[int, str] | None:
             indents.pop()
@@ -219,12 +305,15 @@ class PythonParser(Parser):
             return None
 
         for i, (indent, shape) in enumerate(lines):
-            if indent > indents[-1]:
+            top = indents[-1]
+            if indent[0] > top[0]:
+                if indent[1] <= top[1]:
+                    return i, "indent"
                 indents.append(indent)
                 open_suites.append([])
                 starts.append(i)
             else:
-                while indent < indents[-1]:
+                while indent[0] < indents[-1][0]:
                     if bad := close(i):
                         return bad
                 if indent != indents[-1]:
@@ -236,52 +325,31 @@ class PythonParser(Parser):
         while len(indents) > 1:
             if bad := close(len(lines)):
                 return bad
-        return None if self.file.match("".join(open_suites[0])) else (0 if not lines else self._last_good(open_suites[0], lines), "suite")
-
-    def _last_good(self, kinds: list[str], lines: list[tuple[int, str]]) -> int:
-        top = [i for i, (indent, _) in enumerate(lines) if indent == 0]
-        for n in range(len(kinds), 0, -1):
-            if self.file.match("".join(kinds[:n])):
-                return top[min(n, len(top) - 1)] if top else 0
-        return 0
-
-    def failure(self, text: str) -> tuple[int, str]:
-        codes, at = self.places(text)
-        if ERROR in codes:
-            return at[codes.index(ERROR)], "token"
-        # Brackets first, as in every language; then the line at which it ends.
-        stack, items = [], [[]]
-        for c, x in zip(codes, at, strict=True):
-            if c in "([{":
-                stack.append((c, x))
-                items.append([])
-            elif c in ")]}":
-                if not stack:
-                    return x, "unmatched bracket"
-                b, start = stack.pop()
-                inner = items.pop()
-                if {"(": ")", "[": "]", "{": "}"}[b] != c:
-                    return x, "unmatched bracket"
-                code = self.group(re.match(r"(.)(.*)(.)\Z", b + "".join(v for v, _ in inner) + c, re.S))
-                items[-1].append((code, start))
-            else:
-                items[-1].append((c, x))
-        if stack:
-            return stack[-1][1], "bracket never closed"
-        lines, first = [], []
-        for c, x in items[0]:
+        top = "".join(open_suites[0])
+        if self.suites.matches("start", top):
+            return None
+        # Kinds of the outermost lines, each with its place.
+        at = [i for i, (indent, _) in enumerate(lines) if indent[0] == 0]
+        return min(at[min(self.suites.furthest("start", top), len(at) - 1)] if at else 0, len(lines)), "suite"
+
+    def top_failure(self, tokens: list[tuple[str, int]], end: int) -> tuple[int, str]:
+        lines: list[list] = []
+        for c, x in tokens:
             if _PY_LINE.match(c):
-                lines.append([ord(c) - _PY_INDENT, ""])
-                first.append(x)
+                lines.append([self.widths[ord(c) - _PY_INDENT], "", x, []])
             elif lines:
                 if not lines[-1][1]:
-                    first[-1] = x
+                    lines[-1][2] = x
                 lines[-1][1] += c
-        kept = [(tuple(v), x) for v, x in zip(lines, first, strict=True) if v[1]]
-        bad = self._walk([v for v, _ in kept])
-        if bad is None:
-            return len(text), "statement"
-        return (kept[bad[0]][1] if bad[0] < len(kept) else len(text)), bad[1]
+                lines[-1][3].append((c, x))
+        lines = [v for v in lines if v[1]]
+        bad = self._walk([(v[0], v[1]) for v in lines])
+        if bad is None or bad[0] >= len(lines):
+            return end, "statement"
+        if bad[1] == "statement":
+            rules = ["start", *(_PY_KINDS)]
+            return self._furthest(lines[bad[0]][3], rules, lines[bad[0] + 1][2] if bad[0] + 1 < len(lines) else end), "statement"
+        return lines[bad[0]][2], bad[1]
 
 
 # ------------------------------------------------------------------------------------------- JavaScript and TypeScript
@@ -293,11 +361,11 @@ p_else <- 'else'
 p_case <- 'case' exprs ':' / 'default' ':'
 p_do <- 'do'
 loop <- 'while' (exprs) / 'for' 'await'? (forhead) / 'with' (exprs) / name ':' !'='
-core <- {block} / ';' / typed / vars eos / func / class / 'return' ~eos / ('return' / 'throw') !NEWLINE exprs eos / ('break' / 'continue') (!NEWLINE name)? eos / 'debugger' eos / 'try' {block} ('catch' (catching)? {block} ('finally' {block})? / 'finally' {block}) / 'switch' (exprs) {cases} / exprs eos
+core <- {block} / ';' / typed / vars eos / func / class / 'return' ~eos / ('return' / 'throw') !NEWLINE exprs eos / ('break' / 'continue') (!NEWLINE name)? eos / 'debugger' eos / 'try' {block} ('catch' (catching)? {block} ('finally' {block})? / 'finally' {block}) / 'switch' (exprs) {cases} / !'function' !('async' ~'function') !'class' exprs eos
 eos <- ';' / NEWLINE / END
 vars <- 'const' cvar (',' cvar)* / ('var' / 'let') var (',' var)*
-cvar <- binding ann? '=' expr
-var <- name '!'? ann? ('=' expr)? / binding ann? '=' expr
+cvar <- binding ann? eq expr
+var <- name '!'? ann? (eq expr)? / binding ann? eq expr
 binding <- name / {object} / [array]
 forhead <- (('var' / 'let' / 'const') binding / target) ('of' / 'in') exprs / (vars / exprs)? ';' exprs? ';' exprs?
 target <- name ('.' anyname / [exprs])* / {object} / [array]
@@ -309,20 +377,20 @@ classrest <- <tparams>? ('extends' heritage)? implements? {classbody}
 implements <- NEVER
 heritage <- (name / 'this' / 'null' / (exprs)) ('.' anyname / <targs>? (args) / [exprs])* <targs>?
 classbody <- member*
-member <- ';' / 'static' {block} / deco* mod* (('get' / 'set') &key)? '*'? key '?'? <tparams>? (params) ret? ({block} / overload) / deco* mod* key ('?' / '!')? ann? ('=' expr)? eos / deco* mod* [indexsig] ann eos
+member <- ';' / 'static' {block} / deco* mod* (('get' / 'set') &key)? '*'? key '?'? <tparams>? (params) ret? ({block} / overload) / deco* mod* key ('?' / '!')? ann? (eq expr)? eos / deco* mod* [indexsig] ann eos
 mod <- ('static' / 'async' / 'accessor' / tsmod) &(key / '*' / [indexsig])
 tsmod <- NEVER
 deco <- '@' name ('.' anyname)* (args)?
 key <- anyname / STR / NUM / PRIV / [exprs]
 exprs <- operand ((infix / ',') operand / suffix)*
 expr <- operand (infix operand / suffix)*
-infix <- binop / asg / '?' mid ':'
+infix <- asg / binop / '?' mid ':'
 suffix <- NEVER
-mid <- moperand ((binop / asg / '?' mmid ':') moperand / msuffix)*
-mmid <- moperand ((binop / asg) moperand / msuffix)*
+mid <- moperand ((asg / binop / '?' mid ':') moperand / msuffix)*
 msuffix <- NEVER
-binop <- '||' / '&&' / '??' / '|' / '^' / '&' / '===' / '!==' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>'? '>'? / 'instanceof' / 'in' / '+' / '-' / '**' / '*' / '/' / '%'
-asg <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>>=' / '>>>=' / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
+binop <- '||' / '&&' / '??' / '|' / '^' / '&' / '===' / '!==' / '==' / '!=' / '<=' / '<<' / '<' / '>' (EQ2 / '>'? '>'?) / 'instanceof' / 'in' / '+' / '-' / '**' / '*' / '/' / '%'
+asg <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '**=' / '<<=' / '>' '>' '>'? EQ2 / '&=' / '|=' / '^=' / '&&=' / '||=' / '??='
+eq <- '=' / EQ2
 operand <- (prefix / arrow !{block})* (arrow {block} / primary postfix* / 'yield')
 moperand <- (prefix / marrow !{block})* (marrow {block} / mprimary postfix* / 'yield')
 prefix <- '!' / '~' / '+' / '-' / '++' / '--' / 'typeof' / 'void' / 'delete' / 'await' !(asg / '.' / ',' / ';' / END) / 'yield' '*'? &(prefix0 / mprimary) / 'new' !'.' / cast
@@ -339,7 +407,7 @@ array <- ','* ('...'? operand ((infix / ','+ '...'?) operand / suffix)*)? ','*
 object <- (prop (',' prop)* ','?)?
 prop <- '...' expr / ('get' / 'set') key (params) ret? {block} / ('async' &(key / '*'))? '*'? key <tparams>? (params) ret? {block} / key ':' expr / name ('=' expr)?
 params <- (param (',' param)* ','?)?
-param <- deco* (tsmod &binding)* '...'? (binding / 'this') '?'? ann? ('=' expr)?
+param <- deco* (tsmod &binding)* '...'? (binding / 'this') '?'? ann? (eq expr)?
 name <- ID / 'async' / 'of' / 'get' / 'set' / 'static' / 'as' / 'from' / 'accessor' / 'await' / tsname
 tsname <- 'type' / 'abstract' / 'declare' / 'readonly' / 'namespace' / 'module' / 'is' / 'keyof' / 'infer' / 'asserts' / 'satisfies' / 'unique' / 'override' / 'global' / 'require' / 'assert' / 'using' / 'public' / 'private' / 'protected' / 'interface' / 'implements' / 'out' / 'let'
 anyname <- name / 'if' / 'else' / 'while' / 'for' / 'with' / 'return' / 'throw' / 'break' / 'continue' / 'debugger' / 'try' / 'catch' / 'finally' / 'switch' / 'case' / 'default' / 'do' / 'const' / 'var' / 'function' / 'class' / 'extends' / 'instanceof' / 'in' / 'typeof' / 'void' / 'delete' / 'yield' / 'new' / 'this' / 'super' / 'null' / 'true' / 'false' / 'import' / 'export' / 'enum'
@@ -360,7 +428,7 @@ spec <- 'type' (anyname / STR) ('as' (anyname / STR))? / (anyname / STR) ('as' (
 overload <- eos
 vars <- 'const' !'enum' cvar (',' cvar)* / ('var' / 'let' / 'await'? 'using' !NEWLINE &using) var (',' var)*
 using <- !('in' / 'of' / 'instanceof' / 'as' / 'satisfies') name
-cvar <- binding ann? ('=' expr)?
+cvar <- binding ann? (eq expr)?
 forhead <- (('var' / 'let' / 'const' / 'await'? 'using' &using) binding / target) ('of' / 'in') exprs / (vars / exprs)? ';' exprs? ';' exprs?
 implements <- 'implements' type (',' type)*
 tsmod <- 'public' / 'private' / 'protected' / 'readonly' / 'abstract' / 'override' / 'declare'
@@ -370,32 +438,46 @@ cast <- <targs>
 nonnull <- ~'!' !'='
 ann <- ':' type
 ret <- ':' ('asserts' name ('is' type)? / ('this' / name) 'is' type / type)
-typed <- 'interface' name <tparams>? ('extends' type (',' type)*)? {typebody} / 'type' name <tparams>? '=' type eos / 'const'? 'enum' name {enumbody} / ('namespace' / 'module') (name ('.' name)* / STR) ({nsbody} / eos) / 'global' {nsbody} / 'declare' ('global' {nsbody} / ('var' / 'let' / 'const') dvar (',' dvar)* eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'abstract' / 'class' / 'function' / 'async'))
+typed <- 'interface' name <tparams>? ('extends' type (',' type)*)? {typebody} / 'type' name <tparams>? eq type eos / 'const'? 'enum' name {enumbody} / ('namespace' / 'module') (name ('.' name)* / STR) ({nsbody} / eos) / 'global' {nsbody} / 'declare' ('global' {nsbody} / ('var' / 'let' / 'const') dvar (',' dvar)* eos / &('interface' / 'type' / 'enum' / 'const' / 'namespace' / 'module' / 'abstract' / 'class' / 'function' / 'async'))
 dvar <- name ann?
 enumbody <- (key ('=' expr)? (',' key ('=' expr)?)* ','?)?
-type <- ('|' / '&')? tunit (('|' / '&') tunit / 'extends' tor '?' tor ':' tunit)*
+type <- ('|' / '&')? tor ('extends' tor '?' type ':' type)?
 tor <- tunit (('|' / '&') tunit)*
 tunit <- tprefix* tatom (~[typeindex])*
-tprefix <- ('keyof' / 'readonly' / 'unique' / 'infer' / 'typeof') &tstart / 'abstract'? 'new'? <tparams>? (params) '=>' (('asserts'? (name / 'this') 'is') &tstart)?
+tprefix <- ('keyof' / 'readonly' / 'unique' / 'typeof') &tstart / 'abstract'? 'new'? <tparams>? (params) '=>' (('asserts'? (name / 'this') 'is') &tstart)?
 tstart <- anyname / STR / NUM / TEMPLATE / (types) / (params) / [types] / {typebody} / <tparams>
-tatom <- 'asserts' !NEWLINE (name / 'this') / ('void' / 'null' / 'true' / 'false' / 'this' / 'import' (args) / name) ('.' anyname)* <targs>? / STR / '-'? NUM / TEMPLATE / (types) / [types] / {typebody}
+tatom <- 'infer' name ('extends' tor !'?')? / 'asserts' !NEWLINE (name / 'this') / ('void' / 'null' / 'true' / 'false' / 'this' / 'import' (args) / name) ('.' anyname)* <targs>? / STR / '-'? NUM / TEMPLATE / (types) / [types] / {typebody}
 types <- (titem (',' titem)* ','?)?
 titem <- '...'? (name '?'? ':' type / type '?'?)
 typeindex <- type?
 targs <- type (',' type)* ','?
 tparams <- tparam (',' tparam)* ','?
-tparam <- 'const'? ('in' / 'out')? name ('extends' type)? ('=' type)?
+tparam <- 'const'? ('in' / 'out')? name ('extends' type)? (eq type)?
 typebody <- (tmember (';' / ',' / NEWLINE / END))* 
 tmember <- ('-' / '+')? ('readonly' &(key / [indexsig] / '-' / '+'))? ([indexsig] (('-' / '+')? '?')? ann? / 'new'? <tparams>? (params) ret? / ('get' / 'set') key (params) ret? / key '?'? (<tparams>? (params) ret? / ann)?)
 indexsig <- name ':' type / name 'in' type ('as' type)?
 """
-_JS_ID = r"(?:[^\W\d]|\$)[\w$]*"
+_JS_ID = r"(?:[^\W\d]|\$|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})(?:[\w$]|\\u[0-9a-fA-F]{4}|\\u\{[0-9a-fA-F]+\})*"
 _JS_REGEX = r"/(?![/*])(?:[^/\\\[\r\n]|\\.|\[(?:[^\]\\\r\n]|\\.)*\])+/[A-Za-z]*"
 _JS_BEFORE_REGEX = r"&&|\|\||\?\?|=>|[!=]==?|[<>]=?|[-+*%&|^]=|[=(,:;!?{\[~&|^+\-*%]|\b(?:return|typeof|case|in|of|delete|void|throw|do|else|instanceof|yield|await)\b"
+
+
+def _template(depth: int) -> str:
+    """Template literals whose substitutions nest braces and templates so deep; what nests deeper is read piece by piece."""
+    more = f"|{_template(depth - 1)}|{_braces(depth - 1)}" if depth else ""
+    return rf"`(?:[^`\\$]|\\.|\$(?!\{{)|\$\{{(?:{_PLAIN}{more})*+\}})*+`"
+
+
+def _braces(depth: int) -> str:
+    more = f"|{_template(depth - 1)}|{_braces(depth - 1)}" if depth else ""
+    return rf"\{{(?:{_PLAIN}{more})*+\}}"
+
+
+_PLAIN = r"[^{}`\"']++|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
 _JS_TOKENS = re.compile(
     r"//[^\r\n\u2028\u2029]*|/\*.*?\*/|\r\n|[\n\r\u2028\u2029]"
-    rf"|(?:{_JS_BEFORE_REGEX})(?:\s|//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+{_JS_REGEX}|(?<=\n)[ \t]*{_JS_REGEX}(?=\s*\.)"
-    r"|`(?:[^`\\$]|\\.|\$(?!\{)|\$\{(?:[^{}`\"']|\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|\{(?:[^{}`]|\{[^{}`]*\}|`[^`]*`)*\})*\})*`"
+    rf"|(?:{_JS_BEFORE_REGEX})(?:\s|//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+{_JS_REGEX}|(?<=\n)[ \t]*{_JS_REGEX}(?=\s*\.)|(?<=[)}}])[ \t]*{_JS_REGEX}(?=\.(?:test|exec)\()"
+    rf"|{_template(5)}"
     r"|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'"
     rf"|\#?{_JS_ID}"
     r"|0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?n?"
@@ -412,12 +494,10 @@ _FORMS = {"block": re.compile(rf"(?:{_STATEMENT})*+\Z"), "cases": re.compile(rf"
 
 
 class ScriptParser(Parser):
-    """JavaScript or TypeScript; in the latter, type arguments count as brackets where types may stand."""
+    """JavaScript or TypeScript. ``>=`` is read as ``>`` and an equals sign of its own, so that type arguments can end there."""
 
-    #: Type arguments whose closing bracket is the beginning of an assignment's token; TypeScript only.
-    assigned: re.Pattern | None = None
-    pieces = _FORMS
-    piece_rules = {"m": "module", "i": "p_if", "e": "p_else", "l": "loop", "d": "p_do", "k": "p_case", "c": "core"}
+    runs = _FORMS
+    unit_rules = {"m": "module", "i": "p_if", "e": "p_else", "l": "loop", "d": "p_do", "k": "p_case", "c": "core"}
 
     def __init__(self, typed: bool) -> None:
         text = SCRIPT
@@ -438,12 +518,12 @@ class ScriptParser(Parser):
             if c in "\"'" and len(token) > 1:
                 return string
             if c == "`" and len(token) > 1:
-                return template
+                return template if self.substitutions(token) else ERROR
             if c.isdigit() or (c == "." and len(token) > 1 and token[1].isdigit()):
                 return ERROR if "_" in token and legacy.match(token) else number
             if c == "#" and len(token) > 1:
                 return private
-            if c.isalpha() or c in "_$":
+            if c.isalpha() or c in "_$" or (c == "\\" and len(token) > 1):
                 m = _JS_PREFIX.match(token)
                 return self.table[m[0]] + pattern if m and token[-1] != m[0][-1] and "/" in token else name
             m = _JS_PREFIX.match(token)
@@ -452,50 +532,38 @@ class ScriptParser(Parser):
             return pattern if token.lstrip(" \t").startswith("/") and len(token) > 2 else ERROR
 
         super().__init__(g, _JS_TOKENS, classify)
-        self.table.fixed[NEWLINE] = self.table[NEWLINE] = NEWLINE
-        self.typed = typed
-        if typed:
-            c = g.code
-            apart = "".join(map(c, ("<", ">", ";", "+", "*", "/", "%", "^", "!", "&&", "||", "??", "==", "!=", "===", "!==", "<=", ">=", "<<", "++", "--", "+=", "-=", "**", ">>=", ">>>=", "REGEX")))
-            follow = "".join(map(c, (",", ";", ":", "=", ".", "?.", "|", "&", "?", "=>", ">", "extends", "implements", "TEMPLATE", "!", "&&", "||", "??", "==", "===", "!=", "!==", "is", "as", "satisfies", "in", "of", "instanceof")))
-            groups = f"{chr(BASE['('])}-{chr(BASE['<'] + (1 << len(g.bits['<'])) - 1)}"
-            self.generic = re.compile(rf"{c('<')}([^{re.escape(apart)}]*){c('>')}(?=[\n{re.escape(follow)}{groups}]|\Z)")
-            names = "".join(map(c, ("ID", ".")))
-            self.assigned = re.compile(rf"([{re.escape(''.join(map(c, (':', '|', '&', 'type', 'extends'))))}]\n*[{re.escape(names)}]+){c('<')}([^{re.escape(apart)}]*)([{c('>=')}{c('>>=')}{c('>>>=')}])")
-            self.left = {c(">="): c("="), c(">>="): c(">="), c(">>>="): c(">>=")}
-
-    def _generics(self, shape: str) -> str:
-        if not self.typed or self.g.codes["<"] not in shape:
-            return shape
-
-        def one(inner: str) -> str:
-            key = "<" + inner
-            code = self.memo.get(key)
-            if code is None:
-                bits = sum(bit for bit, matcher in self.matchers["<"] if matcher.match(inner))
-                code = self.memo[key] = chr(BASE["<"] + bits) if bits else ""
-            return code
-
-        def assigned(m: re.Match) -> str:
-            code = one(m[2])
-            return m[1] + code + self.left[m[3]] if code else m[0]
-
-        while True:
-            out = self.generic.sub(lambda m: one(m[1]) or m[0], shape)
-            if self.assigned:
-                out = self.assigned.sub(assigned, out)
-            if out == shape:
-                return shape
-            shape = out
-
-    def inside(self, shape: str) -> str:
-        return self._generics(shape)
-
-    def accepts(self, codes: str) -> bool:
-        return super().accepts(self._generics(codes))
+        equal = g.code("EQ2")
+        more = g.code(">")
+        fixed = {NEWLINE: NEWLINE, **{">" * n + "=": more * n + equal for n in (1, 2, 3)}}
+        self.table.fixed |= fixed
+        self.table.update(fixed)
+
+    def substitutions(self, token: str) -> bool:
+        """Are the substitutions of a template literal expressions?"""
+        i, end = 1, len(token) - 1
+        while i < end:
+            if token[i] == "\\":
+                i += 2
+            elif token.startswith("${", i):
+                codes, depth = [], 0
+                for m in self.tokens.finditer(token, i + 2, end):
+                    depth += (m[0] == "{") - (m[0] == "}")
+                    if depth < 0:
+                        break
+                    codes.append(self.table[m[0]])
+                else:
+                    return False
+                joined = "".join(codes)
+                inner = ERROR if ERROR in joined else self.reduce(joined)
+                if ERROR in inner or not self.g.matches("exprs", self.inside(inner)):
+                    return False
+                i = m.end()
+            else:
+                i += 1
+        return True
 
     def codes(self, text: str) -> str:
-        return super().codes(text.removeprefix("") if text[:2] != "#!" else "//" + text[2:])
+        return super().codes(text.removeprefix(MARK) if text[:2] != "#!" else "//" + text[2:])
 
 
 # ------------------------------------------------------------------------------------------------------------------ Go
@@ -564,12 +632,13 @@ el <- (val ':')? val
 val <- {lit} / expr
 """
 _GO_TOKENS = re.compile(
-    r"//[^\n]*|/\*.*?\*/|\n|`[^`]*`|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\[abfnrtv\\'\"0-7xuU][0-9a-fA-F]*)'"
+    r"//[^\n]*|/\*.*?\*/|\n|`[^`]*`|\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*\"|'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'"
     rf"|{_CJK_FREE_ID}"
     r"|0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?i?|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?i?"
     r"|&\^=|<<=|>>=|\.\.\.|:=|<-|\+\+|--|&\^|&&|\|\||<<|>>|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~(){}\[\].,:;]|[^\s]",
     re.S,
 )
+_BAD_OCTAL = re.compile(r"0[0-7_]*[89][0-9_]*[lL]?\Z")
 _GO_KEYWORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
 
 
@@ -587,7 +656,7 @@ class GoParser(Parser):
             if c in "\"'`":
                 return string if len(token) > 1 else ERROR
             if c.isdigit() or (c == "." and len(token) > 1):
-                return number
+                return ERROR if _BAD_OCTAL.match(token) else number
             return name if token.isidentifier() else ERROR
 
         super().__init__(g, _GO_TOKENS, classify, keywords=_GO_KEYWORDS)
@@ -598,21 +667,18 @@ class GoParser(Parser):
         self.ending = frozenset(ends)
 
     def codes(self, text: str) -> str:
-        raw = super().codes(text.removeprefix("") + "\n")
+        raw = super().codes(text.removeprefix(MARK) + "\n")
         return self.ends.sub(lambda m: self.semi if m.start() and raw[m.start() - 1] in self.ending else "", raw)
 
-    def places(self, text: str) -> tuple[str, list[int]]:
-        codes, at = super().places(text + "\n")
-        out, where, last = [], [], ""
-        for c, x in zip(codes, at, strict=True):
+    def places(self, text: str) -> Iterator[tuple[str, int]]:
+        last = ""
+        for c, x in super().places(text + "\n"):
             if c == NEWLINE:
                 if last not in self.ending:
                     continue
                 c = self.semi
-            out.append(c)
-            where.append(min(x, len(text)))
+            yield c, min(x, len(text))
             last = c
-        return "".join(out), where
 
 
 # ---------------------------------------------------------------------------------------------------------------- Java
@@ -660,9 +726,7 @@ caseitem <- 'default' / 'null' / type (pattern) name? / type name &('->' / ':' /
 pattern <- (type name? (pattern)? (',' type name? (pattern)?)*)?
 cexpr <- unary (binop unary)*
 expr <- operand (infix operand / isa)*
-infix <- binop / asg / '?' mid ':'
-mid <- operand ((binop / asg / '?' mmid ':') operand / isa)*
-mmid <- operand ((binop / asg) operand / isa)*
+infix <- asg / binop / '?' expr ':'
 isa <- 'instanceof' 'final'? type ((pattern) name? / name)?
 binop <- '||' / '&&' / '|' / '^' / '&' / '==' / '!=' / '<=' / '>=' / '<<' / '<' / '>' '>'? '>'? / '+' / '-' / '*' / '/' / '%'
 asg <- '=' / '+=' / '-=' / '*=' / '/=' / '%=' / '&=' / '|=' / '^=' / '<<=' / '>>=' / '>>>='
@@ -684,7 +748,7 @@ arrayitem <- {arrayinit} / expr
 name <- ID / 'record' / 'sealed' / 'permits' / 'when' / 'yield' / 'non'
 """
 _JAVA_TOKENS = re.compile(
-    r"//[^\r\n]*|/\*.*?\*/|\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\r\n]|\\.)*\"|\"\"(?!\")|'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'"
+    r"//[^\r\n]*|/\*.*?\*/|\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:[btnfrs\"'\\]|u+[0-9a-fA-F]{4}|[0-7]{1,3}))*\"|\"\"(?!\")|'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))'"
     r"|(?:[^\W\d]|\$)[\w$]*"
     r"|0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9]+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:[0-9][0-9_]*(?:\.(?!\.)[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[lLfFdD]?"
     r"|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~?:@(){}\[\].,;]|[^\s]",
@@ -693,11 +757,12 @@ _JAVA_TOKENS = re.compile(
 _JAVA_KEYWORDS = "const goto _"
 
 
-class JavaParser(ScriptParser):
-    """Java; type arguments count as brackets where their inside is one of types."""
+class JavaParser(Parser):
+    """Java."""
 
-    pieces = {k: _FORMS[k] for k in ("block", "cases")}
-    piece_rules = {"i": "p_if", "e": "p_else", "l": "loop", "d": "p_do", "k": "p_case", "c": "core"}
+    runs = {k: _FORMS[k] for k in ("block", "cases")}
+    unit_stop = (";",)
+    unit_rules = {"i": "p_if", "e": "p_else", "l": "loop", "d": "p_do", "k": "p_case", "c": "core"}
 
     def __init__(self) -> None:
         g = Grammar(JAVA)
@@ -710,16 +775,13 @@ class JavaParser(ScriptParser):
             if c in "\"'":
                 return string if len(token) > 1 else ERROR
             if c.isdigit() or (c == "." and len(token) > 1):
-                return number
+                return ERROR if _BAD_OCTAL.match(token) else number
             return name if c.isalpha() or c in "_$" else ERROR
 
-        Parser.__init__(self, g, _JAVA_TOKENS, classify, keywords=_JAVA_KEYWORDS)
-        self.typed = True
-        c = g.code
-        inside = "".join(map(c, ("ID", ".", ",", "?", "&", "@", "extends", "super", "int", "long", "short", "byte", "char", "float", "double", "boolean", "record", "sealed", "permits", "when", "yield", "non")))
-        groups = "-" + chr(0xEBFF)
-        follow = "".join(map(c, ("ID", ",", ";", "=", ".", "&", ">", "::", "extends", "implements", "permits", "...", ":", "->", "int", "long", "short", "byte", "char", "float", "double", "boolean", "void", "record", "when", "yield", "@", "|", "?", "this")))
-        self.generic = re.compile(rf"{c('<')}([{re.escape(inside)}{groups}-]*){c('>')}(?=[{re.escape(follow)}{groups}-]|\Z)")
+        super().__init__(g, _JAVA_TOKENS, classify, keywords=_JAVA_KEYWORDS)
+
+    def codes(self, text: str) -> str:
+        return super().codes(text.removeprefix(MARK))
 
 
 PARSERS = {".py": PythonParser, ".ts": lambda: ScriptParser(True), ".js": lambda: ScriptParser(False), ".go": GoParser, ".java": JavaParser, ".json": json_parser}
@@ -730,5 +792,3 @@ def parser(extension: str) -> Parser:
     """The parser of a language; one per worker, with its table of shapes."""
     return PARSERS[extension]()
 
-
-__all__ = ["PARSERS", "Failure", "Tokens", "parser"]

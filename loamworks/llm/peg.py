@@ -2,142 +2,238 @@
 
 A grammar is a list of rules ``name <- expression`` with ordered choice ``/``, ``*``, ``+``, ``?``, ``&`` and ``!``. Terminals are
 kinds of tokens (``ID``), literal tokens (``'if'``) and bracket groups (``(args)``, ``[index]``, ``{block}``): a group stands for a
-pair of brackets whose whole inside is matched by the rule it names. Rules recur through groups only.
+pair of brackets whose whole inside is matched by the rule it names. ``<targs>`` stands for ``'<' targs '>'``; ``~`` before an
+item forbids a line break before it. Rules may recur in any way but to their own left.
 
-Parsing is bottom-up over the brackets. Each token is one character; the inside of every innermost pair, its *shape*, is
+Each token is one character. Brackets are read bottom-up with one stack: the inside of an innermost pair, its *shape*, is
 held against all rules that may stand between such brackets, and the pair becomes one character that says which of them
-match. That answer is memoised by (bracket, shape), across positions and files, so each shape is parsed once: the packrat
-table. Inside a shape a rule is a possessive expression, which has the semantics of ordered choice without backtracking.
-A file is valid if the start rule consumes what remains to its end.
+match. Inside a shape every rule is a function of the position whose results are kept in a table by rule and position, so
+that parsing takes linear time. Two more tables keep results across positions and files: that of shapes, and that of
+*units* (statements, members), which are found again by their own tokens and those looked at behind them.
 
-If it doesn't, the furthest failure is looked up: the innermost bracket pair or line that no rule matches, and in it the
-longest beginning that some rule can still go on from.
+A file is valid if the start rule consumes what remains to its end. If it doesn't, the furthest token that any rule looked at
+in the innermost shape that no rule matches is the place of the failure.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import sys
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
-import regex
-
-#: Shapes remembered per language and worker; the table starts anew beyond it.
+#: Results remembered per language, worker and table; a full table starts anew.
 REMEMBERED = 200_000
-#: Longest shape that is remembered; longer ones seldom recur.
+#: Longest shape that is remembered whole; longer ones seldom recur.
 SHAPE = 400
-#: Characters of a rule's expression up to which beginnings are matched too.
-LONGEST_PARTIAL = 60_000
+#: Recursion of rules inside one shape; these are plain Python calls, which take no C stack.
+DEPTH = 200_000
 FIRST_CODE = 0x4E00
-BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800, "<": 0xF000}
-CLOSE = {"(": ")", "[": "]", "{": "}", "<": ">"}
+#: Codes of groups: 1,024 for each bracket, one bit per rule that may stand in it.
+BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
+CLOSE = {"(": ")", "[": "]", "{": "}"}
 NEWLINE = "\n"
-ERROR = ""
+END = "\0"
+ERROR = "\uf8ff"
+
+_PEG = re.compile(r"\s*(?:(?P<lit>'[^']+')|(?P<grp>\([a-z_]\w*\)|\[[a-z_]\w*\]|\{[a-z_]\w*\}|<[a-z_]\w*>)|(?P<kind>[A-Z][A-Z0-9_]*)|(?P<rule>[a-z_]\w*)|(?P<op>[/*+?&!()~]))")
+_BRACKET = re.compile(r"[()\[\]{}]")
+_LINES = re.compile("\n{2,}")
 
-_PEG = re.compile(r"\s*(?:(?P<lit>'[^']+')|(?P<grp>\([a-z_]+\)|\[[a-z_]+\]|\{[a-z_]+\}|<[a-z_]+>)|(?P<kind>[A-Z][A-Z0-9_]*)|(?P<rule>[a-z_]\w*)|(?P<op>[/*+?&!()~]))")
+Node = tuple
 
 
 class Grammar:
-    """Rules of a language, compiled to possessive expressions over token codes."""
+    """Rules of a language as functions of the position in a shape."""
 
     def __init__(self, text: str, skip_newlines: bool = False) -> None:
         self.codes: dict[str, str] = {}
-        self.bits: dict[str, list[str]] = {b: [] for b in BASE}
         self.skip = skip_newlines
         lines = re.sub(r"\n\s+", " ", re.sub(r"#.*", "", text)).strip().split("\n")
-        self.rules = {k.strip(): v for k, v in (x.split("<-", 1) for x in lines if "<-" in x)}
-        self.sources: dict[str, str] = {}
-        self.used: dict[str, set[str]] = {b: set() for b in BASE}
-        for body in self.rules.values():
+        bodies = {k.strip(): v for k, v in (x.split("<-", 1) for x in lines if "<-" in x)}
+        used: dict[str, set[str]] = {b: set() for b in BASE}
+        for body in bodies.values():
             for m in _PEG.finditer(body):
-                if m["grp"]:
-                    self.used[m["grp"][0]].add(m["grp"][1:-1])
+                if m["grp"] and m["grp"][0] in BASE:
+                    used[m["grp"][0]].add(m["grp"][1:-1])
                 elif m["lit"]:
                     self.code(m["lit"][1:-1])
-        self.bits = {b: sorted(x) for b, x in self.used.items()}
+        self.bits = {b: sorted(x) for b, x in used.items()}
+        if any(len(x) > 10 for x in self.bits.values()):
+            raise ValueError("a kind of bracket may hold ten rules at most")
+        self.rules: dict[str, Node] = {}
+        for name, body in bodies.items():
+            t = list(_PEG.finditer(body))
+            node, at = self._choice(t, 0)
+            if at != len(t):
+                raise ValueError(f"rule {name} can't be read at {at}")
+            self.rules[name] = node
+        self.made: dict | None = None
 
     def code(self, token: str) -> str:
         return self.codes.setdefault(token, chr(FIRST_CODE + len(self.codes)))
 
-    def source(self, rule: str) -> str:
-        if rule not in self.sources:
-            self.sources[rule] = ""  # a rule that recurs outside of brackets would end here
-            tokens = [m for m in _PEG.finditer(self.rules[rule])]
-            out, at = self._choice(tokens, 0)
-            if at != len(tokens) or not out:
-                raise ValueError(f"rule {rule} can't be read at {at}")
-            self.sources[rule] = out
-        if not self.sources[rule]:
-            raise ValueError(f"rule {rule} recurs outside of brackets")
-        return self.sources[rule]
-
-    def _choice(self, t: list, at: int) -> tuple[str, int]:
-        options = []
+    def _choice(self, t: list, at: int) -> tuple[Node, int]:
+        options: list[Node] = []
         while True:
             parts = []
             while at < len(t) and t[at]["op"] not in ("/", ")"):
                 part, at = self._item(t, at)
                 parts.append(part)
-            options.append("".join(parts))
+            new = parts[0] if len(parts) == 1 else ("seq", parts)
+            # Neighbouring options of one token each are one class of tokens.
+            if options and new[0] == options[-1][0] == "tok" and new[2] == options[-1][2]:
+                options[-1] = ("tok", options[-1][1] + new[1], new[2])
+            else:
+                options.append(new)
             if at < len(t) and t[at]["op"] == "/":
                 at += 1
                 continue
-            options = self._merged(options)
-            return (f"(?>{'|'.join(options)})" if len(options) > 1 else options[0]), at
-
-    def _merged(self, options: list[str]) -> list[str]:
-        """Neighbouring options of one token each become one class of tokens."""
-        skip = re.escape(f"{NEWLINE}*+") if self.skip else ""
-        out: list[str] = []
-        for o in options:
-            m = re.fullmatch(rf"{skip}(?:([^\[\]\\()|?*+])|\[([^\[\]]+)\])", o, re.S)
-            before = re.fullmatch(rf"{skip}\[([^\[\]]+)\]", out[-1], re.S) if out and m else None
-            if m:
-                new = (before[1] if before else "") + (m[1] or m[2])
-                out[-1:] = [*([] if before or not out else [out[-1]]), f"{NEWLINE + '*+' if self.skip else ''}[{new}]"]
-            else:
-                out.append(o)
-        return out
+            return (options[0] if len(options) == 1 else ("alt", options)), at
 
-    def _item(self, t: list, at: int) -> tuple[str, int]:
-        m = t[at]
+    def _item(self, t: list, at: int) -> tuple[Node, int]:
+        m, skip = t[at], self.skip
         if m["op"] in ("&", "!"):
             inner, at = self._item(t, at + 1)
-            return f"(?{'=' if m['op'] == '&' else '!'}{inner})", at
-        skip = f"{NEWLINE}*+" if self.skip else ""
+            return ("and" if m["op"] == "&" else "not", inner), at
         if m["op"] == "~":
-            skip, at = "", at + 1
+            skip, at = False, at + 1
             m = t[at]
         if m["op"] == "(":
-            inner, at = self._choice(t, at + 1)
+            node, at = self._choice(t, at + 1)
             at += 1
         elif m["rule"]:
-            inner, at = self.source(m["rule"]), at + 1
+            node, at = ("rule", m["rule"]), at + 1
+        elif m["grp"] and m["grp"][0] == "<":
+            node, at = ("seq", [("tok", self.code("<"), skip), ("rule", m["grp"][1:-1]), ("tok", self.code(">"), self.skip)]), at + 1
         elif m["grp"]:
-            b, rule = m["grp"][0], m["grp"][1:-1]
-            bit = 1 << self.bits[b].index(rule)
-            inner = skip + "[" + _ranges([BASE[b] + x for x in range(1 << len(self.bits[b])) if x & bit]) + "]"
-            at += 1
+            b = m["grp"][0]
+            node, at = ("grp", BASE[b] >> 10, 1 << self.bits[b].index(m["grp"][1:-1]), skip), at + 1
         elif m["kind"] == "NEWLINE":
-            inner, at = NEWLINE, at + 1
+            node, at = ("tok", NEWLINE, False), at + 1
         elif m["kind"] == "END":
-            inner, at = rf"{skip}\Z", at + 1
+            node, at = ("tok", END, skip), at + 1
         else:
-            inner, at = skip + self.code(m["kind"] or m["lit"][1:-1]), at + 1
+            node, at = ("tok", self.code(m["kind"] or m["lit"][1:-1]), skip), at + 1
         if at < len(t) and t[at]["op"] in ("*", "+", "?"):
-            inner, at = f"(?>{inner}){t[at]['op']}+", at + 1
-        return inner, at
-
-
-def _ranges(codes: list[int]) -> str:
-    out, i = [], 0
-    while i < len(codes):
-        j = i
-        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
-            j += 1
-        out.append(chr(codes[i]) if i == j else f"{chr(codes[i])}-{chr(codes[j])}")
-        i = j + 1
-    return "".join(out)
+            node, at = ({"*": "star", "+": "plus", "?": "opt"}[t[at]["op"]], node), at + 1
+        return node, at
+
+    def _simple(self, node: Node, seen: frozenset = frozenset()) -> Node:
+        """A rule that is no more than a class of tokens stands for that class."""
+        if node[0] == "rule" and node[1] not in seen and node[1] in self.rules:
+            inner = self._simple(self.rules[node[1]], seen | {node[1]})
+            return inner if inner[0] == "tok" else node
+        if node[0] == "alt":
+            parts = [self._simple(x, seen) for x in node[1]]
+            if all(p[0] == "tok" and p[2] == parts[0][2] for p in parts):
+                return ("tok", "".join(p[1] for p in parts), parts[0][2])
+        return node
+
+    def functions(self) -> dict:
+        """The compiled rules; ``begin`` sets the shape, ``r_<rule>`` parses at a position and gives the end or -1."""
+        if self.made is None:
+            self.lines: list[str] = ["S = ''", "F = 0", "M = {}", "def begin(s):", "    global S, F, M", "    S, F, M = s, 0, {}", "def far():", "    return F"]
+            self.later: list[tuple[str, Node]] = []
+            for i, (name, node) in enumerate(self.rules.items()):
+                self._function(f"r_{name}", node, i)
+            while self.later:
+                self._function(*self.later.pop(), None)
+            self.made = {}
+            exec(compile("\n".join(self.lines), "<grammar>", "exec"), self.made)
+            sys.setrecursionlimit(max(sys.getrecursionlimit(), DEPTH))
+        return self.made
+
+    def _function(self, name: str, node: Node, key: int | None) -> None:
+        out = self.lines
+        out += [f"def {name}(v0):", "    global F"]
+        if key is not None:
+            out += [f"    k = v0 << 9 | {key}", "    v = M.get(k)", "    if v is not None: return v"]
+        out.append("    v = v0")
+        self.names = 0
+        self._emit(node, "v", "    ", 0)
+        if key is not None:
+            out.append("    M[k] = v")
+        out.append("    return v")
+
+    def _new(self) -> str:
+        self.names += 1
+        return f"w{self.names}"
+
+    def _emit(self, node: Node, v: str, pad: str, depth: int) -> None:
+        """Lines after which ``v`` is the end of the node's match at ``v``, or -1."""
+        out, node = self.lines, self._simple(node)
+        kind = node[0]
+        if kind in ("seq", "alt", "star", "plus") and depth > 5:
+            name = f"h_{len(self.lines)}_{len(self.later)}"
+            self.later.append((name, node))
+            out.append(f"{pad}{v} = {name}({v})")
+        elif kind == "rule":
+            if node[1] not in self.rules:
+                raise ValueError(f"there is no rule {node[1]}")
+            out.append(f"{pad}{v} = r_{node[1]}({v})")
+        elif kind in ("tok", "grp"):
+            if node[-1]:
+                out.append(f"{pad}if S[{v}] == '\\n': {v} += 1")
+            out.append(f"{pad}if {v} > F: F = {v}")
+            if kind == "tok":
+                test = f"S[{v}] == {node[1]!a}" if len(node[1]) == 1 else f"S[{v}] in {node[1]!a}"
+                # The end is looked at but never consumed.
+                step = v if node[1] == END else f"{v} + 1"
+                out.append(f"{pad}{v} = {step} if {test} else -1")
+            else:
+                out.append(f"{pad}o = ord(S[{v}])")
+                out.append(f"{pad}{v} = {v} + 1 if o >> 10 == {node[1]} and o & {node[2]} else -1")
+        elif kind == "seq":
+            out.append(f"{pad}while True:")
+            for i, part in enumerate(node[1]):
+                self._emit(part, v, pad + "    ", depth + 1)
+                if i < len(node[1]) - 1:
+                    out.append(f"{pad}    if {v} < 0: break")
+            out.append(f"{pad}    break")
+        elif kind == "alt":
+            w = self._new()
+            out += [f"{pad}{w} = {v}", f"{pad}while True:"]
+            for i, part in enumerate(node[1]):
+                if i:
+                    out.append(f"{pad}    {v} = {w}")
+                self._emit(part, v, pad + "    ", depth + 1)
+                if i < len(node[1]) - 1:
+                    out.append(f"{pad}    if {v} >= 0: break")
+            out.append(f"{pad}    break")
+        elif kind in ("star", "plus"):
+            if kind == "plus":
+                self._emit(node[1], v, pad, depth)
+                out.append(f"{pad}if {v} >= 0:")
+                pad += "    "
+            w = self._new()
+            out += [f"{pad}while True:", f"{pad}    {w} = {v}"]
+            self._emit(node[1], w, pad + "    ", depth + 1)
+            out += [f"{pad}    if {w} <= {v}: break", f"{pad}    {v} = {w}"]
+        elif kind == "opt":
+            w = self._new()
+            out.append(f"{pad}{w} = {v}")
+            self._emit(node[1], w, pad, depth)
+            out.append(f"{pad}if {w} >= 0: {v} = {w}")
+        else:
+            w = self._new()
+            out.append(f"{pad}{w} = {v}")
+            self._emit(node[1], w, pad, depth)
+            out.append(f"{pad}if {w} {'<' if kind == 'and' else '>='} 0: {v} = -1")
+
+    def matches(self, rule: str, shape: str) -> bool:
+        """Does the rule consume the whole shape?"""
+        f = self.functions()
+        f["begin"](shape + END + END)
+        end = f["r_" + rule](0)
+        if end >= 0 and self.skip and shape[end : end + 1] == NEWLINE:
+            end += 1
+        return end == len(shape)
+
+    def furthest(self, rule: str, shape: str) -> int:
+        """The furthest token that the rule looks at."""
+        self.matches(rule, shape)
+        return min(self.functions()["far"](), len(shape))
 
 
 class Tokens(dict):
@@ -157,113 +253,126 @@ class Tokens(dict):
         return code
 
 
-class Failure(Exception):
-    """Position of a token and what went wrong there."""
-
-    def __init__(self, offset: int, cause: str) -> None:
-        super().__init__(cause)
-        self.offset, self.cause = offset, cause
-
-
-class Pieces:
-    """A run of statements: piece after piece is consumed, then the kinds of all pieces must form statements."""
-
-    def __init__(self, piece: re.Pattern, form: re.Pattern) -> None:
-        self.piece, self.form = piece, form
-
-    def read(self, shape: str) -> tuple[str, list[int]]:
-        """Kinds and ends of the pieces that could be read, newlines left over included."""
-        match, at, end = self.piece.match, 0, len(shape)
+class Units:
+    """Ends of the units that a run consists of, remembered by their tokens."""
+
+    def __init__(self, grammar: Grammar, rules: dict[str, str], stop: re.Pattern) -> None:
+        self.g, self.rules, self.stop = grammar, rules, stop
+        self.known: dict[str, tuple[str, int, str]] = {}
+        self.far = 0
+
+    def at(self, s: str, i: int) -> tuple[int, str]:
+        """(end, kind) of the unit that begins at ``i`` of a shape with its end marks; end is -1 if there is none."""
+        m = self.stop.search(s, i + 1)
+        key = s[i : m.end() + 1 if m else len(s)]
+        hit = self.known.get(key)
+        if hit is None or not s.startswith(hit[0], i):
+            f = self.g.functions()
+            f["begin"](s)
+            end, kind = -1, ""
+            for k, rule in self.rules.items():
+                end = f["r_" + rule](i)
+                if end > i:
+                    kind = k
+                    break
+            else:
+                end = -1
+            seen = s[i : max(f["far"](), end, i) + 1]
+            hit = (seen, end - i if end > i else -1, kind)
+            if len(seen) <= SHAPE:
+                if len(self.known) > REMEMBERED:
+                    self.known.clear()
+                self.known[key] = hit
+        self.far = max(self.far, i + len(hit[0]) - 1)
+        return (i + hit[1] if hit[1] > 0 else -1), hit[2]
+
+    def read(self, shape: str) -> tuple[str, list[int], int]:
+        """(kinds, ends, place): the units one after the other; place is where they stop, the shape's length if at its end."""
+        s, at, n = shape + END + END, 0, len(shape)
         kinds, ends = [], []
-        while at < end:
-            m = match(shape, at)
-            if m is None or m.end() == at:
-                rest = len(shape[at:].lstrip(NEWLINE))
-                if rest:
+        while at < n:
+            end, kind = self.at(s, at)
+            if end < 0:
+                if at == n - 1 and shape[at] == NEWLINE:
                     break
-                at = end
-                continue
-            kinds.append(m.lastgroup)
-            at = m.end()
-            ends.append(at)
-        return ("".join(kinds), ends) if at >= end else ("!".join(("".join(kinds), "")), ends)
-
-    def match(self, shape: str) -> re.Match | None:
-        return self.form.match(self.read(shape)[0])
-
-    def furthest(self, shape: str) -> int:
-        kinds, ends = self.read(shape)
-        if kinds.endswith("!"):
-            return ends[-1] if ends else 0
-        n = max((i for i in range(len(kinds) + 1) if self.form.match(kinds[:i])), default=0)
-        return ends[n - 1] if n else 0
+                return "".join(kinds), ends, at
+            kinds.append(kind)
+            ends.append(end)
+            at = end
+        return "".join(kinds), ends, n
 
 
 class Parser:
-    """A language: tokens by one expression, brackets bottom-up, rules by shape."""
+    """A language: tokens by one expression, brackets by a stack, rules by shape."""
 
-    PAIR = re.compile(r"([(\[{])([^()\[\]{}]*)([)\]}])")
+    #: Rules that are runs of units, and the form that the kinds of the units must have.
+    runs: dict[str, re.Pattern] = {}
+    unit_rules: dict[str, str] = {}
+    #: Tokens at which a unit is likely to end.
+    unit_stop: tuple[str, ...] = (";", NEWLINE)
+    #: Tokens that count for nothing between brackets.
+    dropped: re.Pattern | None = None
 
     def __init__(self, grammar: Grammar, tokens: re.Pattern, classify: Callable[[str], str], start: str = "start", keywords: str = "") -> None:
         self.g, self.tokens, self.start = grammar, tokens, start
         for k in keywords.split():
             grammar.code(k)
-        self.matchers = {b: [(1 << i, self._compile(r)) for i, r in enumerate(rules)] for b, rules in grammar.bits.items()}
-        self.start_match = self._compile(start)
+        stops = "".join(grammar.codes.get(x, x) for x in self.unit_stop)
+        self.units = Units(grammar, self.unit_rules, re.compile(f"[{re.escape(stops)}\ue800-\uebff]"))
         fixed = {k: v for k, v in grammar.codes.items() if not (k.isupper() and k.isidentifier())}
         fixed |= {c: c for c in "()[]{}"}
         self.table = Tokens(classify, fixed)
         self.memo: dict[str, str] = {}
 
-    #: Rules that are runs of statements: each is told by the kinds of its pieces, as ``piece_rules`` name them.
-    pieces: dict[str, re.Pattern] = {}
-    piece_rules: dict[str, str] = {}
-
-    def _compile(self, rule: str) -> re.Pattern | Pieces:
-        if rule in self.pieces:
-            if not hasattr(self, "piece"):
-                self.piece = re.compile("|".join(f"(?P<{kind}>{self.g.source(r)})" for kind, r in self.piece_rules.items()))
-            return Pieces(self.piece, self.pieces[rule])
-        return re.compile(rf"(?:{self.g.source(rule)}){NEWLINE + '*' if self.g.skip else ''}\Z")
-
-    #: Tokens that count for nothing between brackets.
-    dropped: re.Pattern | None = None
+    def matches(self, rule: str, shape: str) -> bool:
+        if rule in self.runs:
+            kinds, _, place = self.units.read(shape)
+            return place == len(shape) and self.runs[rule].match(kinds) is not None
+        return self.g.matches(rule, shape)
 
     def inside(self, shape: str) -> str:
-        """What a shape between brackets is before it is held against rules."""
-        return self.dropped.sub("", shape) if self.dropped else shape
+        """What a shape is before it is held against rules."""
+        if self.dropped:
+            return self.dropped.sub("", shape)
+        return _LINES.sub(NEWLINE, shape) if self.g.skip else shape
 
-    def group(self, m: re.Match) -> str:
-        b, shape, c = m[1], m[2], m[3]
-        key = b + shape
+    def group(self, bracket: str, shape: str) -> str:
+        key = bracket + shape
         code = self.memo.get(key)
         if code is None:
             shape = self.inside(shape)
-            bits = 0
-            for bit, matcher in self.matchers[b]:
-                if matcher.match(shape):
-                    bits |= bit
-            code = chr(BASE[b] + bits)
+            bits = sum(1 << i for i, rule in enumerate(self.g.bits[bracket]) if self.matches(rule, shape))
+            code = chr(BASE[bracket] + bits)
             if len(shape) <= SHAPE:
                 if len(self.memo) > REMEMBERED:
                     self.memo.clear()
                 self.memo[key] = code
-        return code if CLOSE[b] == c else ERROR
+        return code
 
     def reduce(self, codes: str) -> str:
-        """All bracket pairs as single characters."""
-        sub, group = self.PAIR.sub, self.group
-        while True:
-            out = sub(group, codes)
-            if out == codes:
-                return codes
-            codes = out
+        """All bracket pairs as single characters; holds ``ERROR`` if brackets don't pair."""
+        stack: list[tuple[str, list[str]]] = []
+        now, at = [], 0
+        for m in _BRACKET.finditer(codes):
+            c, i = m[0], m.start()
+            now.append(codes[at:i])
+            at = i + 1
+            if c in BASE:
+                stack.append((c, now))
+                now = []
+            else:
+                if not stack or CLOSE[stack[-1][0]] != c:
+                    return ERROR
+                b, before = stack.pop()
+                before.append(self.group(b, "".join(now)))
+                now = before
+        return ERROR if stack else "".join(now) + codes[at:]
 
     def codes(self, text: str) -> str:
         return "".join(map(self.table.__getitem__, self.tokens.findall(text)))
 
     def accepts(self, codes: str) -> bool:
-        return self.start_match.match(codes) is not None
+        return self.matches(self.start, codes if self.dropped else self.inside(codes))
 
     def valid(self, text: str) -> bool:
         codes = self.codes(text)
@@ -272,71 +381,60 @@ class Parser:
         codes = self.reduce(codes)
         return ERROR not in codes and self.accepts(codes)
 
-    # The slow way, for files that failed: where.
-    def places(self, text: str) -> tuple[str, list[int]]:
-        codes, at = [], []
+    # The slow way, for files that failed: where and why.
+    def places(self, text: str) -> Iterator[tuple[str, int]]:
+        """Codes of the tokens with their offsets."""
         for m in self.tokens.finditer(text):
-            c = self.table[m[0]]
-            codes.append(c)
-            at += repeat(m.start(), len(c))
-        return "".join(codes), at
+            yield from zip(self.table[m[0]], repeat(m.start()))
 
     def failure(self, text: str) -> tuple[int, str]:
         """(offset, cause) of the furthest failure of a text that isn't valid."""
-        codes, at = self.places(text)
-        end = len(text)
-        place = lambda i: at[i] if i < len(at) else end
-        if ERROR in codes:
-            return place(codes.index(ERROR)), "token"
-        stack: list[tuple[str, int]] = []
-        opened: list[list[tuple[str, int]]] = [[]]
+        stack: list[tuple[str, int, list]] = []
+        now: list[tuple[str, int]] = []
         bad: tuple[int, str] | None = None
-        for i, c in enumerate(codes):
-            if c in "([{":
-                stack.append((c, i))
-                opened.append([])
+        for c, x in self.places(text):
+            if c == ERROR:
+                return (x, "token") if bad is None else bad
+            if c in BASE:
+                stack.append((c, x, now))
+                now = []
             elif c in ")]}":
-                if not stack:
-                    return place(i), "unmatched bracket"
-                b, start = stack.pop()
-                inner = opened.pop()
-                if CLOSE[b] != c:
-                    return place(i), "unmatched bracket"
-                code = self.group(re.match(r"(.)(.*)(.)\Z", b + "".join(x for x, _ in inner) + c, re.S))
+                if not stack or CLOSE[stack[-1][0]] != c:
+                    return bad or (x, "bracket")
+                b, start, before = stack.pop()
+                code = self.group(b, "".join(v for v, _ in now))
                 if ord(code) == BASE[b] and bad is None:
-                    bad = place(self._furthest(inner, [r for r in self.g.bits[b]], i)), "bracket content"
-                opened[-1].append((code, start))
+                    bad = self._furthest(now, self.g.bits[b], x), "inside of bracket"
+                before.append((code, start))
+                now = before
             else:
-                opened[-1].append((c, i))
-        if stack:
-            return place(stack[-1][1]), "bracket never closed"
-        return bad or (place(self._furthest(opened[0], [self.start], len(codes))), "statement")
-
-    def _furthest(self, inner: list[tuple[str, int]], rules: list[str], end: int) -> int:
-        if self.dropped:
-            inner = [x for x in inner if not self.dropped.match(x[0])]
-        shape = self.inside("".join(x for x, _ in inner))
-        if len(shape) != len(inner):  # brackets of types were taken together
-            inner = inner[: len(shape)]
-        low = 0
-        for r in rules:
-            matcher = self._compile(r)
-            if isinstance(matcher, Pieces):
-                low = max(low, matcher.furthest(shape))
-            elif (p := self._partial(r)) is not None:
-                a, b = low, len(shape)
-                while a < b:
-                    mid = (a + b + 1) // 2
-                    if p.fullmatch(shape[:mid], partial=True):
-                        a = mid
-                    else:
-                        b = mid - 1
-                low = max(low, a)
-        while low < len(shape) and shape[low] == NEWLINE:
+                now.append((c, x))
+        if bad is None and stack:
+            return len(text), "open bracket"
+        return bad or self.top_failure(now, len(text))
+
+    def top_failure(self, tokens: list[tuple[str, int]], end: int) -> tuple[int, str]:
+        return self._furthest(tokens, [self.start], end), "statement"
+
+    def _furthest(self, tokens: list[tuple[str, int]], rules: list[str], end: int) -> int:
+        kept: list[tuple[str, int]] = []
+        for c, x in tokens:
+            if (self.dropped and self.dropped.match(c)) or (self.g.skip and c == NEWLINE and kept and kept[-1][0] == NEWLINE):
+                continue
+            kept.append((c, x))
+        shape, low = "".join(c for c, _ in kept), 0
+        for rule in rules:
+            if rule in self.runs:
+                self.units.far = 0
+                kinds, ends, place = self.units.read(shape)
+                if place < len(shape):
+                    low = max(low, min(self.units.far, len(shape)))
+                else:  # every unit is one, but they don't form statements
+                    form = self.runs[rule]
+                    n = max((i for i in range(len(kinds) + 1) if form.match(kinds[:i])), default=0)
+                    low = max(low, ends[n - 1] if n else 0)
+            else:
+                low = max(low, self.g.furthest(rule, shape))
+        while low < len(kept) and kept[low][0] == NEWLINE:
             low += 1
-        return inner[low][1] if low < len(inner) else end
-
-    def _partial(self, rule: str) -> regex.Pattern | None:
-        """The expression of a rule for matching beginnings, unless it is too long to hold twice."""
-        source = self.g.source(rule)
-        return regex.compile(f"(?:{source})") if len(source) < LONGEST_PARTIAL else None
+        return kept[low][1] if low < len(kept) else end
