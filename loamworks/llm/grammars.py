@@ -21,7 +21,7 @@ members <- (pair (',' pair)*)?
 pair <- STR ':' value
 elements <- (value (',' value)*)?
 """
-_JSON_TOKENS = re.compile(r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[A-Za-z_]\w*|[{}\[\]:,]|[^ \t\r\n]')
+_JSON_TOKENS = (r'"(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*"|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|[A-Za-z_]\w*|[{}\[\]:,]|[^ \t\r\n]')
 
 
 def json_parser() -> Parser:
@@ -115,14 +115,13 @@ body <- {suite} / 'B'
 _PY_KINDS = {"h_if": "f", "h_elif": "e", "h_else": "l", "h_while": "w", "h_for": "r", "h_try": "t", "h_except": "x", "h_group": "X", "h_finally": "y", "h_with": "W", "h_def": "d", "h_decorator": "@", "h_match": "m", "h_case": "c"}
 _PY_KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield"
 _PY_PREFIX = r"(?:[rR][bBfF]|[bBfF][rR]|[rRbBuUfF])?"
-_PY_TOKENS = re.compile(
+_PY_TOKENS = (
     r"(?:(?:\r\n|\n|\r)[ \t\f]*(?:\#[^\r\n]*)?)+"
     r"|[fF][rR]?\"(?!\"\")(?:[^\"\\\r\n{}]|\\.|\{\{|\}\}|\{[^{}\r\n]*\})*\"|[fF][rR]?'(?!'')(?:[^'\\\r\n{}]|\\.|\{\{|\}\}|\{[^{}\r\n]*\})*'"
     rf"|{_PY_PREFIX}(?:\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*'''|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?!'')(?:[^'\\\r\n]|\\(?:\r\n|.))*'|\"\"(?!\")|''(?!'))"
     rf"|{_CJK_FREE_ID}"
     r"|0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:[0-9](?:_?[0-9])*)?\.[0-9](?:_?[0-9])*(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?|[0-9](?:_?[0-9])*\.?(?:[eE][+-]?[0-9](?:_?[0-9])*)?[jJ]?"
-    r"|\#[^\r\n]*|\\(?:\r\n|\n)|\*\*=?|//=?|>>=?|<<=?|->|:=|\.\.\.|[!=<>]=|[-+*/%@&|^]=?|[<>~.,:;=(){}\[\]]|[^ \t\f]",
-    re.S,
+    r"|\#[^\r\n]*|\\(?:\r\n|\n)|\*\*=?|//=?|>>=?|<<=?|->|:=|\.\.\.|[!=<>]=|[-+*/%@&|^]=?|[<>~.,:;=(){}\[\]]|[^ \t\f]"
 )
 #: Indents are codes of a plane of their own, each standing for the white space as written.
 _PY_INDENT, _PY_INDENTS = 0xF0000, 0x1FFFE
@@ -474,15 +473,15 @@ def _braces(depth: int) -> str:
 
 
 _PLAIN = r"[^{}`\"']++|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'"
-_JS_TOKENS = re.compile(
-    r"//[^\r\n\u2028\u2029]*|/\*.*?\*/|\r\n|[\n\r\u2028\u2029]"
-    rf"|(?:{_JS_BEFORE_REGEX})(?:\s|//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+{_JS_REGEX}|(?<=\n)[ \t]*{_JS_REGEX}(?=\s*\.)|(?<=[)}}])[ \t]*{_JS_REGEX}(?=\.(?:test|exec)\()"
+_JS_TOKENS = (
+    r"[A-Za-z_$][\w$]*+(?![\\\w$]|\s*/)|//[^\r\n\u2028\u2029]*|/\*.*?\*/"
+    rf"|\n[ \t]*{_JS_REGEX}(?=\s*\.)|\r\n|[\n\r\u2028\u2029]"
+    rf"|(?:{_JS_BEFORE_REGEX})(?:\s|//[^\r\n]*+|/\*(?:[^*]|\*(?!/))*+\*/)*+{_JS_REGEX}|[)}}][ \t]*{_JS_REGEX}(?=\.(?:test|exec)\()"
     rf"|{_template(5)}"
     r"|\"(?:[^\"\\\r\n]|\\(?:\r\n|.))*\"|'(?:[^'\\\r\n]|\\(?:\r\n|.))*'"
     rf"|\#?{_JS_ID}"
     r"|0[xX][0-9a-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?n?"
-    r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|[-+*/%&|^]=|<<|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]|[^\s]",
-    re.S,
+    r"|>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|[-+*/%&|^]=|<<|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@]|[^\s]"
 )
 _JS_PREFIX = re.compile(_JS_BEFORE_REGEX)
 
@@ -511,8 +510,10 @@ class ScriptParser(Parser):
 
         def classify(token: str) -> str:
             c = token[0]
-            if token in ("\r\n", "\r", "\u2028", "\u2029"):
-                return NEWLINE
+            if c in "\n\r\u2028\u2029":
+                return NEWLINE if token.isspace() else NEWLINE + pattern
+            if c in ")}" and len(token) > 1:
+                return c + pattern
             if c == "/" and token[:2] in ("//", "/*") and len(token) > 1:
                 return NEWLINE if "\n" in token or "\r" in token else ""
             if c in "\"'" and len(token) > 1:
@@ -547,10 +548,10 @@ class ScriptParser(Parser):
             elif token.startswith("${", i):
                 codes, depth = [], 0
                 for m in self.tokens.finditer(token, i + 2, end):
-                    depth += (m[0] == "{") - (m[0] == "}")
+                    depth += (m[1] == "{") - (m[1] == "}")
                     if depth < 0:
                         break
-                    codes.append(self.table[m[0]])
+                    codes.append(self.table[m[1]])
                 else:
                     return False
                 joined = "".join(codes)
@@ -596,8 +597,8 @@ fields <- field? (';' field?)*
 field <- (names type / '*'? ID ('.' ID)? [typeargs]?) STR?
 methods <- method? (';' method?)*
 method <- ID (params) result? / constraint
-block <- stmts
-stmts <- stmt? (';' stmt?)*
+unit <- stmt (';' / &END) / ';'
+block <- unit*
 stmt <- (ID ':' !'=' ';'*)* stmt0
 stmt0 <- {block} / ifs / 'for' forrest / 'switch' switchrest / 'select' {comms} / 'return' exprs? / ('go' / 'defer') expr / 'goto' ID / ('break' / 'continue') ID? / 'fallthrough' / 'var' (varspec / (varspecs)) / 'const' (constspec / (constspecs)) / 'type' (typespec / (typespecs)) / simple
 ifs <- 'if' (hsimple? ';')? hsimple {block} ('else' 'if' (hsimple? ';')? hsimple {block})* ('else' {block})?
@@ -631,12 +632,11 @@ lit <- (el (',' el)* ','?)?
 el <- (val ':')? val
 val <- {lit} / expr
 """
-_GO_TOKENS = re.compile(
+_GO_TOKENS = (
     r"//[^\n]*|/\*.*?\*/|\n|`[^`]*`|\"(?:[^\"\\\n]|\\(?:[abfnrtv\\\"]|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))*\"|'(?:[^'\\\n]|\\(?:[abfnrtv\\']|[0-7]{3}|x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}))'"
     rf"|{_CJK_FREE_ID}"
     r"|0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9_]+)?i?|0[bB][01_]+|0[oO][0-7_]+|(?:[0-9][0-9_]*(?:\.[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?i?"
-    r"|&\^=|<<=|>>=|\.\.\.|:=|<-|\+\+|--|&\^|&&|\|\||<<|>>|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~(){}\[\].,:;]|[^\s]",
-    re.S,
+    r"|&\^=|<<=|>>=|\.\.\.|:=|<-|\+\+|--|&\^|&&|\|\||<<|>>|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~(){}\[\].,:;]|[^\s]"
 )
 _BAD_OCTAL = re.compile(r"0[0-7_]*[89][0-9_]*[lL]?\Z")
 _GO_KEYWORDS = "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var"
@@ -645,6 +645,10 @@ _GO_KEYWORDS = "break case chan const continue default defer else fallthrough fo
 class GoParser(Parser):
     """Go; line ends become semicolons by the language's rule before anything else."""
 
+    runs = {"block": re.compile("g*\\Z")}
+    unit_rules = {"g": "unit"}
+    unit_stop = (";",)
+
     def __init__(self) -> None:
         g = Grammar(GO)
         string, number, name = g.code("STR"), g.code("NUM"), g.code("ID")
@@ -747,12 +751,11 @@ arrayinit <- (arrayitem (',' arrayitem)*)? ','?
 arrayitem <- {arrayinit} / expr
 name <- ID / 'record' / 'sealed' / 'permits' / 'when' / 'yield' / 'non'
 """
-_JAVA_TOKENS = re.compile(
+_JAVA_TOKENS = (
     r"//[^\r\n]*|/\*.*?\*/|\"\"\"[ \t\f]*\r?\n(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|\"(?!\"\")(?:[^\"\\\r\n]|\\(?:[btnfrs\"'\\]|u+[0-9a-fA-F]{4}|[0-7]{1,3}))*\"|\"\"(?!\")|'(?:[^'\\\r\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|[btnfrs\"'\\]))'"
     r"|(?:[^\W\d]|\$)[\w$]*"
     r"|0[xX][0-9a-fA-F_]+(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?[0-9]+)?[lLfFdD]?|0[bB][01_]+[lL]?|(?:[0-9][0-9_]*(?:\.(?!\.)[0-9_]*)?|\.[0-9][0-9_]*)(?:[eE][+-]?[0-9_]+)?[lLfFdD]?"
-    r"|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~?:@(){}\[\].,;]|[^\s]",
-    re.S,
+    r"|>>>=|<<=|>>=|\.\.\.|->|::|\+\+|--|&&|\|\||<<|[!=<>]=|[-+*/%&|^]=|[-+*/%&|^<>=!~?:@(){}\[\].,;]|[^\s]"
 )
 _JAVA_KEYWORDS = "const goto _"
 

@@ -221,10 +221,11 @@ class Grammar:
             self._emit(node[1], w, pad, depth)
             out.append(f"{pad}if {w} {'<' if kind == 'and' else '>='} 0: {v} = -1")
 
-    def matches(self, rule: str, shape: str) -> bool:
-        """Does the rule consume the whole shape?"""
+    def matches(self, rule: str, shape: str, again: bool = False) -> bool:
+        """Does the rule consume the whole shape? ``again``: the shape is that of the last call, whose table is kept."""
         f = self.functions()
-        f["begin"](shape + END + END)
+        if not again:
+            f["begin"](shape + END + END)
         end = f["r_" + rule](0)
         if end >= 0 and self.skip and shape[end : end + 1] == NEWLINE:
             end += 1
@@ -286,6 +287,24 @@ class Units:
         self.far = max(self.far, i + len(hit[0]) - 1)
         return (i + hit[1] if hit[1] > 0 else -1), hit[2]
 
+    def kinds(self, shape: str) -> str | None:
+        """Kinds of the units that a shape consists of, or None."""
+        s, at, n = shape + END + END, 0, len(shape)
+        search, known, out = self.stop.search, self.known, []
+        while at < n:
+            m = search(s, at + 1)
+            hit = known.get(s[at : m.end() + 1] if m else s[at:])
+            if hit is not None and hit[1] > 0 and s.startswith(hit[0], at):
+                out.append(hit[2])
+                at += hit[1]
+                continue
+            end, kind = self.at(s, at)
+            if end < 0:
+                return "".join(out) if at == n - 1 and shape[at] == NEWLINE else None
+            out.append(kind)
+            at = end
+        return "".join(out)
+
     def read(self, shape: str) -> tuple[str, list[int], int]:
         """(kinds, ends, place): the units one after the other; place is where they stop, the shape's length if at its end."""
         s, at, n = shape + END + END, 0, len(shape)
@@ -313,8 +332,10 @@ class Parser:
     #: Tokens that count for nothing between brackets.
     dropped: re.Pattern | None = None
 
-    def __init__(self, grammar: Grammar, tokens: re.Pattern, classify: Callable[[str], str], start: str = "start", keywords: str = "") -> None:
-        self.g, self.tokens, self.start = grammar, tokens, start
+    def __init__(self, grammar: Grammar, tokens: str, classify: Callable[[str], str], start: str = "start", keywords: str = "") -> None:
+        self.g, self.start = grammar, start
+        # White space before a token is passed over with it.
+        self.tokens = re.compile(rf"[ \t\f]*+({tokens})", re.S)
         for k in keywords.split():
             grammar.code(k)
         stops = "".join(grammar.codes.get(x, x) for x in self.unit_stop)
@@ -326,10 +347,23 @@ class Parser:
 
     def matches(self, rule: str, shape: str) -> bool:
         if rule in self.runs:
-            kinds, _, place = self.units.read(shape)
-            return place == len(shape) and self.runs[rule].match(kinds) is not None
+            kinds = self.units.kinds(shape)
+            return kinds is not None and self.runs[rule].match(kinds) is not None
         return self.g.matches(rule, shape)
 
+    def bits(self, bracket: str, shape: str) -> int:
+        """Which of the rules that may stand between such brackets match; those that aren't runs share one table."""
+        bits, again, kinds = 0, False, ""
+        for i, rule in enumerate(self.g.bits[bracket]):
+            if rule not in self.runs:
+                bits |= self.g.matches(rule, shape, again) << i
+                again = True
+        for i, rule in enumerate(self.g.bits[bracket]):
+            if rule in self.runs and kinds is not None:
+                kinds = kinds or self.units.kinds(shape)
+                bits |= (kinds is not None and self.runs[rule].match(kinds) is not None) << i
+        return bits
+
     def inside(self, shape: str) -> str:
         """What a shape is before it is held against rules."""
         if self.dropped:
@@ -341,8 +375,7 @@ class Parser:
         code = self.memo.get(key)
         if code is None:
             shape = self.inside(shape)
-            bits = sum(1 << i for i, rule in enumerate(self.g.bits[bracket]) if self.matches(rule, shape))
-            code = chr(BASE[bracket] + bits)
+            code = chr(BASE[bracket] + self.bits(bracket, shape))
             if len(shape) <= SHAPE:
                 if len(self.memo) > REMEMBERED:
                     self.memo.clear()
@@ -385,7 +418,7 @@ class Parser:
     def places(self, text: str) -> Iterator[tuple[str, int]]:
         """Codes of the tokens with their offsets."""
         for m in self.tokens.finditer(text):
-            yield from zip(self.table[m[0]], repeat(m.start()))
+            yield from zip(self.table[m[1]], repeat(m.start(1)))
 
     def failure(self, text: str) -> tuple[int, str]:
         """(offset, cause) of the furthest failure of a text that isn't valid."""
