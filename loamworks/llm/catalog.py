@@ -5,13 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import invalid, leakage, sentences, tokens
+from . import invalid, leakage, sentences, tokens, vendored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return vendored.not_by_hand(table(spark, d, "source_files"), table(spark, d, "upstream_files")).select("file_id")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Files per repository and reason."""
+    found = vendored.not_by_hand(table(spark, d, "source_files"), table(spark, d, "upstream_files"))
+    return found.groupBy("repository", "reason").agg(F.count("*").alias("files"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return invalid.unparsable(table(spark, d, "source_files"))
 
@@ -47,5 +58,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_failures, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_failures, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
 ORACLE: dict[str, str] = {}
