@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_quality
+from . import data_quality, retrieval
 
-MODULES = (data_quality,)
+MODULES = (data_quality, retrieval)
 
 
 def queries() -> dict:
