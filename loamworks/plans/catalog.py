@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_quality, retrieval
+from . import data_quality, retrieval, scans, structure
 
-MODULES = (data_quality, retrieval)
+MODULES = (data_quality, retrieval, structure, scans)
 
 
 def queries() -> dict:
