@@ -17,6 +17,7 @@ doesn't count has no files, so each source held against it is an orphan; empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,11 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex, glob_tuple
-from ..functions.paths import basename, canonical
+from ..functions.paths import canonical
 from ..session import materialise, ship, small
 from .snapshots import counted_snapshots, file_lines
 
 REFERENCE = ["ref_table", "ref_id", "ref_key"]
+#: Files of one key that one task holds against patterns.
+SALTED = 20_000
+#: Rounds after which the records reached are written as one table.
+MERGED = 8
 
 
 def symbol_key(key: Column) -> Column:
@@ -48,7 +53,10 @@ def lifetimes(df: DataFrame, key: Column) -> DataFrame:
 
 
 def _missing(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """The rows of ``refs`` (with repository, key, at) that no lifetime covers; AQE splits hot keys of either side."""
+    """The rows of ``refs`` (with repository, key, at) that no lifetime covers.
+
+    AQE splits hot keys of ``refs``; a key's lifetimes, of which it can't split any, are few and distinct.
+    """
     covered = (F.col("repository") == F.col("l_repository")) & (F.col("key") == F.col("l_key")) & (F.col("at") >= F.col("added_at")) & (F.col("removed_at").isNull() | (F.col("at") < F.col("removed_at")))
     return refs.join(lives, covered, "left_anti")
 
@@ -102,29 +110,44 @@ def source_references(knowledge_entries: DataFrame) -> DataFrame:
     )
 
 
-def held_sources(wanted: DataFrame, file_rows: DataFrame, counted: DataFrame) -> DataFrame:
-    """Of the distinct (repository, snapshot_no, key), those that a file of the counted snapshot equals or matches."""
+def held_sources(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """Of the distinct (repository, snapshot_no, key), those that one of ``files`` (repository, snapshot_no, path) equals or matches.
+
+    Files form the keys of the tuples in use and are cut to the keys that are wanted before any shuffle, by hash. Keys that decide alone
+    go on without the path. Where the expression decides, files of one key are salted and the few patterns are repeated for
+    each salt, so that a key that a third of all files form is spread over many tasks.
+    """
     ship(wanted.sparkSession)
     place = ["repository", "snapshot_no"]
     pattern = F.col("key").contains("*") | F.col("key").contains("{")
     globs = wanted.where(pattern).mapInPandas(_glob_columns, "repository string, snapshot_no int, key string, tuple string, tuple_key string, expression string")
     plain = wanted.where(~pattern).select(*place, "key", F.lit("path").alias("tuple"), F.col("key").alias("tuple_key"), F.lit(None).cast("string").alias("expression"))
     keys = materialise(plain.unionByName(globs), "sources")
-    tuples = keys.groupBy(*place).agg(F.collect_set("tuple").alias("tuples"))
-    # The tuples in use are few (depth times six kinds), whatever the number of patterns.
-    wanted_at = materialise(counted.join(tuples, place).select(*place, "delivery", "tuples"), "tuples")
-    files = file_lines(file_rows).join(small(wanted_at, 400), [*place, "delivery"]).select(*place, "path", F.explode("tuples").alias("tuple"))
-    depth = F.regexp_extract("tuple", r"^(\d*)", 1).try_cast("int")
+    # The tuples in use are few (depth times six kinds), whatever the number of patterns; what they mean is read once, not for each file.
     kind = F.regexp_extract("tuple", r"^\d+(.*)$", 1)
+    read = F.struct("tuple", F.regexp_extract("tuple", r"^(\d+)", 1).try_cast("int").alias("depth"), kind.alias("kind"), F.startswith(kind, F.lit("/")).alias("direct"), F.when(F.endswith(kind, F.lit("name")), 1).when(F.endswith(kind, F.lit("ext")), 2).otherwise(0).alias("tail"), "unsure")
+    kinds = keys.groupBy("tuple").agg(F.max(F.col("expression").isNotNull()).alias("unsure")).select("tuple", read.alias("t"))
+    tuples = small(materialise(keys.select(*place, "tuple").distinct().join(F.broadcast(kinds), "tuple").groupBy(*place).agg(F.collect_set("t").alias("tuples")), "tuples"), 800)
+    hashed = lambda key: F.xxhash64(*place, "tuple", key)
+    asked = small(materialise(keys.select(hashed(F.col("tuple_key")).alias("h")).distinct(), "asked"), 24)
     parts = F.split("path", "/")
-    prefix = F.array_join(F.slice(parts, F.lit(1), F.coalesce(depth, F.lit(0))), "/")
-    deep = F.when(F.startswith(kind, F.lit("/")), F.size(parts) == depth + 1).otherwise(F.size(parts) > depth)
-    tail = F.when(F.endswith(kind, F.lit("name")), basename(F.col("path"))).when(F.endswith(kind, F.lit("ext")), F.regexp_extract(basename(F.col("path")), r"(\.[^.]+)$", 1)).otherwise(F.lit(""))
-    formed = F.when(F.col("tuple") == "path", F.col("path")).when(deep, F.concat_ws("\0", prefix, kind, tail))
-    found = files.select(F.col("repository").alias("f_repository"), F.col("snapshot_no").alias("f_snapshot_no"), "path", formed.alias("formed")).where("formed is not null").distinct()
-    # Keys that decide alone need no path; the others keep it for the expression.
-    same = (F.col("repository") == F.col("f_repository")) & (F.col("snapshot_no") == F.col("f_snapshot_no")) & (F.col("tuple_key") == F.col("formed"))
-    return keys.join(found, same & (F.col("expression").isNull() | F.expr("path rlike expression")), "left_semi").select(*place, "key").distinct()
+    each = files.join(tuples, place).select(*place, "path", parts.alias("parts"), F.element_at(parts, -1).alias("name"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), F.explode("tuples").alias("t")).select(*place, "path", "parts", "name", "ext", "t.*")
+    deep = F.when(F.col("direct"), F.size("parts") == F.col("depth") + 1).otherwise(F.size("parts") > F.col("depth"))
+    formed = F.when(F.col("tuple") == "path", F.col("path")).when(deep, F.concat_ws("\0", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"), "kind", F.when(F.col("tail") == 1, F.col("name")).when(F.col("tail") == 2, F.col("ext")).otherwise(F.lit(""))))
+    found = each.select(*place, "tuple", formed.alias("tuple_key"), F.when(F.col("unsure"), F.col("path")).alias("path")).where("tuple_key is not null").withColumn("h", hashed(F.col("tuple_key"))).join(asked, "h", "left_semi").drop("h")
+    tuple_key = [*place, "tuple", "tuple_key"]
+    found = materialise(found.distinct(), "found")
+    sure = keys.where("expression is null").join(found.select(*tuple_key).distinct(), tuple_key, "left_semi").select(*place, "key")
+    unsure, tried = keys.where("expression is not null"), found.where("path is not null")
+    most = tried.groupBy(*tuple_key).count().agg(F.max("count")).first()[0] or 0
+    salts = max(1, math.ceil(most / SALTED))
+    left = unsure.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = tried.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(salts)).cast("int"))
+    same = F.expr("path rlike expression")
+    for c in [*tuple_key, "salt"]:
+        same = same & (F.col(f"l.{c}") == F.col(f"r.{c}"))
+    held = left.alias("l").join(right.alias("r"), same, "left_semi").select(*place, "key")
+    return sure.unionByName(held).distinct()
 
 
 def direct_orphans(tables: dict[str, DataFrame]) -> DataFrame:
@@ -134,7 +157,11 @@ def direct_orphans(tables: dict[str, DataFrame]) -> DataFrame:
     relations = _direct_by_lifetime(relation_references(tables["reader_relationships"]), lifetimes(tables["reader_records"], canonical(F.col("record_id"))))
     sources = source_references(tables["knowledge_entries"])
     place = ["repository", "snapshot_no", "key"]
-    held = held_sources(sources.where("repository is not null and snapshot_no is not null").select(*place).distinct(), tables["file_rows"], counted_snapshots(tables["file_rows"], tables["snapshots"]))
+    wanted = materialise(sources.where("repository is not null and snapshot_no is not null").select(*place).distinct(), "wanted")
+    counted = counted_snapshots(tables["file_rows"], tables["snapshots"])
+    asked = materialise(counted.join(wanted.select("repository", "snapshot_no").distinct(), ["repository", "snapshot_no"], "left_semi").select("repository", "snapshot_no", "delivery"), "asked")
+    files = file_lines(tables["file_rows"]).join(small(asked, 60), ["repository", "snapshot_no", "delivery"]).select("repository", "snapshot_no", "path")
+    held = held_sources(wanted, files)
     missing = sources.join(held, place, "left_anti")
     return reduce(DataFrame.unionByName, [edges.select(*keep), relations.select(*keep), missing.select(*keep)])
 
@@ -142,26 +169,27 @@ def direct_orphans(tables: dict[str, DataFrame]) -> DataFrame:
 def orphan_references(tables: dict[str, DataFrame], max_round: int | None = None) -> DataFrame:
     """The cascade: (ref_table, ref_id, ref_key, at, round), distinct; round 0 is direct, later ones are inherited.
 
-    ``max_round`` ends it early: no round changes the rows of an earlier one. Without it the loop runs to the fixpoint;
-    each round is one semi-join of the remaining references with the newly orphaned records.
+    Each round is one semi-join of the links between records with the newly orphaned ones; it ends when no record is new, or after
+    ``max_round`` rounds. The set of records reached so far is rewritten every few rounds, so that no round reads many files.
     """
-    direct = direct_orphans(tables)
-    if max_round == 0:
-        return direct.select(*REFERENCE, "at", F.lit(0).alias("round")).distinct()
-    direct = materialise(direct.distinct(), "direct")
+    direct = materialise(direct_orphans(tables).distinct(), "direct")
     targets = edge_references(tables["call_edges"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("symbol", F.col("r.repository"), F.col("r.key")).alias("target"))
     more = relation_references(tables["reader_relationships"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("record", F.col("r.repository"), F.col("r.key")).alias("target"))
-    rest = materialise(targets.unionByName(more).distinct().join(direct.select(*REFERENCE), REFERENCE, "left_anti"), "references")
+    rest = materialise(targets.unionByName(more).where("target is not null").distinct().join(direct.select(*REFERENCE).distinct(), REFERENCE, "left_anti"), "references")
     # The graph of records is walked on distinct links; references get their round at the end.
-    links = materialise(rest.where("target is not null and holder is not null").select("target", "holder").distinct(), "links")
-    reached = [materialise(direct.where("holder is not null").select("holder").distinct().select("holder", F.lit(1).alias("round")), "records")]
-    while max_round is None or len(reached) < max_round:
+    links = materialise(rest.where("holder is not null").select("target", "holder").distinct(), "links")
+    last = materialise(direct.where("holder is not null").select("holder").distinct().select("holder", F.lit(1).alias("round")), "records")
+    reached, rounds = [last], 1
+    while max_round is None or rounds < max_round:
+        rounds += 1
         seen = reduce(DataFrame.unionByName, reached)
-        fresh = links.join(reached[-1].select(F.col("holder").alias("target")), "target", "left_semi").select("holder").distinct().join(seen.select("holder"), "holder", "left_anti")
-        fresh = materialise(fresh.select("holder", F.lit(len(reached) + 1).alias("round")), "records")
-        if fresh.isEmpty():
+        fresh = links.join(last.select(F.col("holder").alias("target")), "target", "left_semi").select("holder").distinct().join(seen.select("holder"), "holder", "left_anti")
+        last = materialise(fresh.select("holder", F.lit(rounds).alias("round")), "records")
+        if last.isEmpty():
             break
-        reached.append(fresh)
+        reached.append(last)
+        if len(reached) > MERGED:
+            reached = [materialise(reduce(DataFrame.unionByName, reached), "records", replaces=reached[:-1])]
     records = reduce(DataFrame.unionByName, reached).select(F.col("holder").alias("target"), "round")
     inherited = rest.join(records, "target").groupBy(*REFERENCE, "at").agg(F.min("round").alias("round"))
     return direct.select(*REFERENCE, "at", F.lit(0).alias("round")).distinct().unionByName(inherited)

@@ -19,7 +19,8 @@ def _orphan_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.orphan_references(_orphan_tables(spark, d), max_round=0).select(*orphans.REFERENCE).distinct()
+    """Round 0 of the cascade."""
+    return orphans.orphan_references(_orphan_tables(spark, d)).where("round = 0").select(*orphans.REFERENCE).distinct()
 
 
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -131,8 +132,8 @@ UNION SELECT 'reader_relationships', relation_id, target_id, captured_at, 'recor
 UNION SELECT 'knowledge_entries', entry_id, source, registered_at, 'record' || chr(0) || repository || chr(0) || {_canon("path")}, NULL
       FROM (SELECT entry_id, repository, path, registered_at, unnest(sources) AS source FROM knowledge_entries) WHERE source IS NOT NULL),
 links AS (SELECT DISTINCT r.target, r.holder FROM refs r ANTI JOIN found f USING (ref_table, ref_id, ref_key) WHERE r.target IS NOT NULL AND r.holder IS NOT NULL),
-walk AS (SELECT DISTINCT r.holder, 1 AS round FROM refs r SEMI JOIN found f USING (ref_table, ref_id, ref_key) WHERE r.holder IS NOT NULL
-         UNION SELECT l.holder, w.round + 1 FROM walk w JOIN links l ON l.target = w.holder WHERE w.round < 60),
+walk(holder, round) USING KEY (holder) AS (SELECT DISTINCT r.holder, 1 AS round FROM refs r SEMI JOIN found f USING (ref_table, ref_id, ref_key) WHERE r.holder IS NOT NULL
+         UNION SELECT DISTINCT l.holder, w.round + 1 FROM walk w JOIN links l ON l.target = w.holder WHERE NOT EXISTS (SELECT 1 FROM recurring.walk r WHERE r.holder = l.holder)),
 reached AS (SELECT holder, min(round) AS round FROM walk GROUP BY 1),
 orphans AS (SELECT ref_table, ref_id, ref_key, seen_at, 0 AS round FROM found
             UNION ALL SELECT r.ref_table, r.ref_id, r.ref_key, r.seen_at, min(w.round) FROM refs r ANTI JOIN found f USING (ref_table, ref_id, ref_key) JOIN reached w ON w.holder = r.target GROUP BY ALL)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,11 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there and any executor may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/loamworks/{name}-{uuid.uuid4().hex}"
+def materialise(df: DataFrame, name: str = "step", replaces: Iterable[DataFrame] = ()) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends there and any executor may be lost.
+
+    ``replaces``: tables written before that nothing but ``df`` reads any more; they are removed once it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loamworks/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in replaces:
+        forget(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a table that :func:`materialise` wrote and that nothing reads any more."""
+    path = getattr(df, "_written", None)
+    if path is not None:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Removes all tables that :func:`materialise` wrote into the shared folder, once the results that read them are stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/loamworks")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
