@@ -172,10 +172,13 @@ def orphan_references(tables: dict[str, DataFrame], max_round: int | None = None
     Each round is one semi-join of the links between records with the newly orphaned ones; it ends when no record is new, or after
     ``max_round`` rounds. The set of records reached so far is rewritten every few rounds, so that no round reads many files.
     """
-    direct = materialise(direct_orphans(tables).distinct(), "direct")
+    direct = direct_orphans(tables)
+    if max_round == 0:  # what holds an orphan changes no reference of its own round
+        return direct.select(*REFERENCE, "at", F.lit(0).alias("round")).distinct()
+    direct = materialise(direct.distinct(), "direct")
     targets = edge_references(tables["call_edges"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("symbol", F.col("r.repository"), F.col("r.key")).alias("target"))
     more = relation_references(tables["reader_relationships"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("record", F.col("r.repository"), F.col("r.key")).alias("target"))
-    rest = materialise(targets.unionByName(more).where("target is not null").distinct().join(direct.select(*REFERENCE).distinct(), REFERENCE, "left_anti"), "references")
+    rest = materialise(targets.unionByName(more).where("target is not null").distinct().join(small(direct.select(*REFERENCE), 200), REFERENCE, "left_anti"), "references")
     # The graph of records is walked on distinct links; references get their round at the end.
     links = materialise(rest.where("holder is not null").select("target", "holder").distinct(), "links")
     last = materialise(direct.where("holder is not null").select("holder").distinct().select("holder", F.lit(1).alias("round")), "records")

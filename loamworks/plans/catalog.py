@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_quality, retrieval, scans, structure
+from . import data_quality, knowledge, retrieval, scans, structure, work
 
-MODULES = (data_quality, retrieval, structure, scans)
+MODULES = (data_quality, retrieval, structure, scans, knowledge, work)
 
 
 def queries() -> dict:

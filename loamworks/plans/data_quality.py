@@ -19,8 +19,8 @@ def _orphan_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Round 0 of the cascade."""
-    return orphans.orphan_references(_orphan_tables(spark, d)).where("round = 0").select(*orphans.REFERENCE).distinct()
+    """Round 0 of the cascade; later rounds only add references that no row of this one depends on."""
+    return orphans.orphan_references(_orphan_tables(spark, d), max_round=0).select(*orphans.REFERENCE).distinct()
 
 
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,7 @@ def _key(x: str) -> str:
     return f"{_canon(f"split_part({x}, '::', 1)")} || substr({x}, length(split_part({x}, '::', 1)) + 1)"
 
 
-_COUNTED = f"""
+COUNTED = f"""
 lines AS (SELECT DISTINCT repository, snapshot_no, delivery, {_canon("path")} AS path, lower(content_hash) AS hash FROM file_rows
           WHERE path IS NOT NULL AND content_hash IS NOT NULL),
 digests AS (SELECT repository, snapshot_no, delivery, sha256(string_agg(path || chr(0) || hash, chr(10) ORDER BY path || chr(0) || hash)) AS digest
@@ -78,8 +78,8 @@ counted AS (SELECT s.repository, s.snapshot_no, max(s.delivery) AS delivery,
 held AS (SELECT c.repository, c.snapshot_no, c.idx, l.path, max(l.hash) AS hash FROM counted c JOIN lines l USING (repository, snapshot_no, delivery) GROUP BY ALL)
 """
 
-_CHANGES = f"""
-WITH {_COUNTED},
+CHANGES = f"""
+WITH {COUNTED},
 pairs AS (SELECT b.repository, b.snapshot_no, a.snapshot_no AS before_no FROM counted b JOIN counted a ON a.repository = b.repository AND a.idx = b.idx - 1),
 old AS (SELECT p.repository, p.snapshot_no, h.path, h.hash FROM pairs p JOIN held h ON h.repository = p.repository AND h.snapshot_no = p.before_no),
 new AS (SELECT p.repository, p.snapshot_no, h.path, h.hash FROM pairs p JOIN held h ON h.repository = p.repository AND h.snapshot_no = p.snapshot_no),
@@ -89,15 +89,15 @@ changes AS (SELECT repository, snapshot_no, path,
 """
 
 # A pattern becomes an expression step by step; the marks \x01-\x04 stand for what was read already.
-_GLOB = "s.key"
+GLOB = "s.key"
 for _old, _new in (
     (r"([.+^$()|\[\]\\?])", r"\\\1"), (r"^\*\*$", "\x02"), (r"/\*\*$", "/\x02"), (r"(^|/)\*\*/", "\\1\x01"), (r"(^|/)\*\*/", "\\1\x01"), (r"\*+", "\x03"),
     ("\x01", r"(?:[^/]+/)*"), ("\x02", r"[^/]+(?:/[^/]+)*"), ("\x03", r"[^/]*"), (r"\{", "(?:"), (r"\}", ")"), (",", "|"),
 ):
-    _GLOB = f"regexp_replace({_GLOB}, '{_old}', '{_new}', 'g')"
+    GLOB = f"regexp_replace({GLOB}, '{_old}', '{_new}', 'g')"
 
 _DIRECT = f"""
-WITH {_COUNTED},
+WITH {COUNTED},
 lives AS (SELECT DISTINCT repository, {_key("symbol_key")} AS key, added_at, removed_at FROM symbols),
 records AS (SELECT DISTINCT repository, {_canon("record_id")} AS key, added_at, removed_at FROM reader_records),
 edges AS (SELECT DISTINCT edge_id, target_key, captured_at, repository AS own, {_key("target_key")} AS own_key,
@@ -117,7 +117,7 @@ UNION
 SELECT 'knowledge_entries', entry_id, source, registered_at FROM sources s
 WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.repository = s.repository AND h.snapshot_no = s.snapshot_no AND h.path = s.key)
   AND NOT EXISTS (SELECT 1 FROM held h WHERE h.repository = s.repository AND h.snapshot_no = s.snapshot_no
-                  AND (contains(s.key, '*') OR contains(s.key, '{{')) AND regexp_full_match(h.path, {_GLOB})))
+                  AND (contains(s.key, '*') OR contains(s.key, '{{')) AND regexp_full_match(h.path, {GLOB})))
 """
 
 _CASCADE = f"""{_DIRECT.replace("WITH ", "WITH RECURSIVE ", 1)},
@@ -143,6 +143,6 @@ ORACLE: dict[str, str] = {
     "p1_found": f"{_DIRECT} SELECT DISTINCT ref_table, ref_id, ref_key FROM found",
     "p1_cascade": f"{_CASCADE} SELECT ref_table, ref_id, ref_key, CAST(min(round) AS BIGINT) AS round, CASE WHEN min(round) = 0 THEN 'direct' ELSE 'inherited' END AS orphan_kind FROM orphans GROUP BY 1, 2, 3",
     "p1_report": f"{_CASCADE} SELECT ref_table, strftime(seen_at, '%Y-%m') AS month, count(*) FILTER (round = 0) AS direct, count(*) FILTER (round > 0) AS inherited, count(DISTINCT CASE WHEN round = 0 THEN ref_key END) AS missing_keys FROM orphans GROUP BY 1, 2",
-    "p2_found": f"{_CHANGES} SELECT repository, snapshot_no, path, change_kind FROM changes",
-    "p2_report": f"{_CHANGES} SELECT repository, snapshot_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'changed') AS changed, count(*) FILTER (change_kind = 'removed') AS removed FROM changes GROUP BY 1, 2",
+    "p2_found": f"{CHANGES} SELECT repository, snapshot_no, path, change_kind FROM changes",
+    "p2_report": f"{CHANGES} SELECT repository, snapshot_no, count(*) FILTER (change_kind = 'added') AS added, count(*) FILTER (change_kind = 'changed') AS changed, count(*) FILTER (change_kind = 'removed') AS removed FROM changes GROUP BY 1, 2",
 }

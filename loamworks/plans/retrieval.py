@@ -19,24 +19,24 @@ LIMIT = 10
 SCOPES = ("docs/tools", "docs/surface", "docs/engine")
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
+def documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(canonical(F.col("path")).alias("path"), "text", "title", "lang", "doc_type")
 
 
-def _items(spark: SparkSession, d: str) -> DataFrame:
+def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), F.col("passage").alias("query"))
 
 
-def _best(files: DataFrame, queries: DataFrame) -> DataFrame:
+def best_of(files: DataFrame, queries: DataFrame) -> DataFrame:
     return search.best_chunks(search.ranked_chunks(search.index(search.chunk_windows(files)), queries)).select("query_id", "path", "start_line", "rank")
 
 
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
-    return search.chunk_windows(_files(spark, d)).select("path", "start_line", "end_line", "heading", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
+    return search.chunk_windows(documents(spark, d)).select("path", "start_line", "end_line", "heading", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
 
 
 def query_terms_of_items(spark: SparkSession, d: str) -> DataFrame:
-    return _items(spark, d).select("query_id", F.posexplode(query_terms(F.col("query"))).alias("position", "term")).withColumn("position", F.col("position") + 1)
+    return items(spark, d).select("query_id", F.posexplode(query_terms(F.col("query"))).alias("position", "term")).withColumn("position", F.col("position") + 1)
 
 
 def lexical_expansion(spark: SparkSession, d: str) -> DataFrame:
@@ -45,20 +45,20 @@ def lexical_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.index(search.chunk_windows(_files(spark, d))).select("path", "start_line", F.col("n_tokens").cast("long").alias("n_tokens"))
+    return search.index(search.chunk_windows(documents(spark, d))).select("path", "start_line", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
-    return search.top(_best(_files(spark, d), _items(spark, d)), LIMIT, "rank", "path").select("query_id", "position", "path", "start_line", "rank")
+    return search.top(best_of(documents(spark, d), items(spark, d)), LIMIT, "rank", "path").select("query_id", "position", "path", "start_line", "rank")
 
 
 def best_chunk_per_file(spark: SparkSession, d: str) -> DataFrame:
-    return _best(_files(spark, d), _items(spark, d))
+    return best_of(documents(spark, d), items(spark, d))
 
 
 def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     """The scope filters before files are ranked against each other, but the statistics are those of the whole index."""
-    best = _best(_files(spark, d), _items(spark, d))
+    best = best_of(documents(spark, d), items(spark, d))
     held = in_scope(F.col("path"), SCOPES[0])
     for s in SCOPES[1:]:
         held = held | in_scope(F.col("path"), s)
@@ -66,8 +66,8 @@ def scoped_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def language_filtered_search(spark: SparkSession, d: str) -> DataFrame:
-    files = _files(spark, d)
-    best = _best(files, _items(spark, d)).join(files.where("lower(lang) like 'en%'").select("path"), "path", "left_semi")
+    files = documents(spark, d)
+    best = best_of(files, items(spark, d)).join(files.where("lower(lang) like 'en%'").select("path"), "path", "left_semi")
     return search.top(best, LIMIT, "rank", "path").select("query_id", "position", "path", "rank")
 
 
@@ -78,8 +78,8 @@ def _title_matches(best: DataFrame, files: DataFrame, queries: DataFrame) -> Dat
 
 def balanced_search(spark: SparkSession, d: str) -> DataFrame:
     """Scopes are the directories two levels deep."""
-    files, queries = _files(spark, d), _items(spark, d)
-    rows = search.balanced(_title_matches(_best(files, queries), files, queries), F.regexp_extract("path", "^([^/]+/[^/]+)/", 1), LIMIT)
+    files, queries = documents(spark, d), items(spark, d)
+    rows = search.balanced(_title_matches(best_of(files, queries), files, queries), F.regexp_extract("path", "^([^/]+/[^/]+)/", 1), LIMIT)
     return rows.select("query_id", "position", "path", "scope", F.col("scope_row").cast("long").alias("scope_row"), "rank")
 
 
@@ -89,9 +89,9 @@ def _titles(files: DataFrame) -> DataFrame:
 
 def title_boost_search(spark: SparkSession, d: str) -> DataFrame:
     """One title per type of document is the query; documents with exactly that title come first."""
-    files = _files(spark, d)
+    files = documents(spark, d)
     queries = materialise(_titles(files), "titles")
-    rows = search.top(_title_matches(_best(files, queries), files, queries), LIMIT, F.col("title_match").desc(), "rank", "path")
+    rows = search.top(_title_matches(best_of(files, queries), files, queries), LIMIT, F.col("title_match").desc(), "rank", "path")
     return rows.select("query_id", "position", "path", F.col("title_match").cast("long").alias("title_match"), "rank")
 
 
@@ -112,17 +112,17 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
 def linked_expansion(spark: SparkSession, d: str) -> DataFrame:
     """Reader records by title; records related to the first hits get a fourth of the places."""
     files = materialise(_record_files(spark, d), "records")
-    best = _best(files, materialise(_evidence(spark, d), "evidence"))
+    best = best_of(files, materialise(_evidence(spark, d), "evidence"))
     found = materialise(search.top(best, search.candidates(LIMIT), "rank", "path"), "found")
     return search.linked(found, _record_links(spark, d), files.where("text rlike '\\\\S'"), LIMIT).select("query_id", F.col("position").cast("long").alias("position"), "path", "rank", "reason")
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Known-item search: each title is a query, the documents that have it are relevant."""
-    files = _files(spark, d)
+    files = documents(spark, d)
     relevant = files.where("title is not null").select(F.col("title").alias("query_id"), "path")
     queries = relevant.select("query_id", F.col("query_id").alias("query")).distinct()
-    found = search.top(_best(files, materialise(queries, "titles")), LIMIT, "rank", "path")
+    found = search.top(best_of(files, materialise(queries, "titles")), LIMIT, "rank", "path")
     m = search.retrieval_metrics(found, relevant)
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mean_reciprocal_rank")))
 
@@ -138,9 +138,9 @@ QUERIES: dict[str, Query] = {
     "retrieval_metrics": retrieval_metrics, "explanation_score": explanation_score,
 }
 
-_FILES = f"files AS (SELECT {common.canon('path')} AS path, text, title, lang, doc_type FROM documents)"
+FILES_SQL = f"files AS (SELECT {common.canon('path')} AS path, text, title, lang, doc_type FROM documents)"
 _ITEMS = "queries AS (SELECT item_id AS query_id, passage AS query FROM eval_items)"
-_SEARCH = f"WITH {_FILES}, {_ITEMS}, {common.bm25('files', 'queries')}"
+_SEARCH = f"WITH {FILES_SQL}, {_ITEMS}, {common.bm25('files', 'queries')}"
 _KEY = "repository || '/' || {0}"
 _RECORDS = f"files AS (SELECT repository || '/' || {common.canon("split_part(record_id, '#', 1)")} AS path, max(title) AS text FROM reader_records WHERE repository IS NOT NULL AND record_id IS NOT NULL GROUP BY 1)"
 _EVIDENCE = "queries AS (SELECT DISTINCT evidence AS query_id, evidence AS query FROM knowledge_entries WHERE evidence IS NOT NULL)"
@@ -154,7 +154,7 @@ _TITLED = "titled AS (SELECT b.*, CASE WHEN lower(f.title) = lower(trim(q.query)
 _IN = " OR ".join(f"path = '{s}' OR starts_with(path, '{s}/')" for s in SCOPES)
 
 ORACLE: dict[str, str] = {
-    "chunk_windows": f"WITH {_FILES}, {common.windows('files')} SELECT path, start_line, end_line, heading, end_line - start_line + 1 AS n_lines FROM chunks",
+    "chunk_windows": f"WITH {FILES_SQL}, {common.windows('files')} SELECT path, start_line, end_line, heading, end_line - start_line + 1 AS n_lines FROM chunks",
     "query_terms": f"WITH {_ITEMS}, {common.terms('queries')} SELECT query_id, term, position FROM terms",
     "lexical_expansion": f"SELECT DISTINCT qualname, array_to_string({common.lexical('qualname')}, ' ') AS parts FROM symbols WHERE qualname IS NOT NULL",
     "postings_stats": f"{_SEARCH} SELECT path, start_line, n_tokens::BIGINT AS n_tokens FROM lengths",
@@ -165,7 +165,7 @@ ORACLE: dict[str, str] = {
     "balanced_search": f"""{_SEARCH}, {_TITLED},
 scoped AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY title_match DESC, rank, path) AS scope_row FROM (SELECT *, regexp_extract(path, '^([^/]+/[^/]+)/', 1) AS scope FROM titled))
 {_first('scoped', 'title_match DESC, scope_row, rank, path', 'query_id, position, path, scope, scope_row, rank')}""",
-    "title_boost_search": f"""WITH {_FILES}, queries AS (SELECT doc_type AS query_id, min(title) AS query FROM files WHERE title IS NOT NULL AND doc_type IS NOT NULL GROUP BY 1), {common.bm25('files', 'queries')}, {_TITLED}
+    "title_boost_search": f"""WITH {FILES_SQL}, queries AS (SELECT doc_type AS query_id, min(title) AS query FROM files WHERE title IS NOT NULL AND doc_type IS NOT NULL GROUP BY 1), {common.bm25('files', 'queries')}, {_TITLED}
 {_first('titled', 'title_match DESC, rank, path', 'query_id, position, path, title_match::BIGINT AS title_match, rank')}""",
     "linked_expansion": f"""WITH {_RECORDS}, {_EVIDENCE}, {common.bm25('files', 'queries')},
 found AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, path) AS position FROM best) WHERE position <= 30),
@@ -181,7 +181,7 @@ slots AS (SELECT query_id, least(count(*), 2) AS slots FROM extra GROUP BY 1),
 direct AS (SELECT f.query_id, f.position, f.path, f.rank, 'match' AS reason FROM found f LEFT JOIN slots s USING (query_id) WHERE f.position <= 10 - coalesce(s.slots, 0))
 SELECT * FROM direct UNION ALL
 SELECT e.query_id, d.n + e.nth, e.path, e.rank, e.reason FROM extra e JOIN slots s USING (query_id) JOIN (SELECT query_id, max(position) AS n FROM direct GROUP BY 1) d USING (query_id) WHERE e.nth <= s.slots""",
-    "retrieval_metrics": f"""WITH {_FILES}, queries AS (SELECT DISTINCT title AS query_id, title AS query FROM files WHERE title IS NOT NULL), {common.bm25('files', 'queries')},
+    "retrieval_metrics": f"""WITH {FILES_SQL}, queries AS (SELECT DISTINCT title AS query_id, title AS query FROM files WHERE title IS NOT NULL), {common.bm25('files', 'queries')},
 found AS ({_first('best', 'rank, path', 'query_id, position, path')}),
 hit AS (SELECT f.title AS query_id, min(position) AS p FROM files f LEFT JOIN found r ON r.query_id = f.title AND r.path = f.path WHERE f.title IS NOT NULL GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(CASE WHEN p <= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_1, round(avg(CASE WHEN p <= 5 THEN 1.0::DOUBLE ELSE 0 END), 6) AS recall_5,

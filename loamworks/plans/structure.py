@@ -111,10 +111,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "reader_records").where("repository is not null and record_id is not null").select(_record("record_id").alias("node")).distinct()
 
 
-def record_edges(spark: SparkSession, d: str, verb: str | None = None) -> DataFrame:
+def record_edges(spark: SparkSession, d: str, verb: str | None = None, certainty: str | None = None) -> DataFrame:
     """Relationships between records that exist."""
     r = table(spark, d, "reader_relationships").where("repository is not null and source_id is not null and target_id is not null")
     r = r.where(F.col("verb") == verb) if verb else r
+    r = r.where(F.col("certainty") == certainty) if certainty else r
     known = records(spark, d)
     edges = r.select(_record("source_id").alias("source"), _record("target_id").alias("target")).distinct()
     return edges.join(known.withColumnRenamed("node", "source"), "source", "left_semi").join(known.withColumnRenamed("node", "target"), "target", "left_semi").select("source", "target")
@@ -125,8 +126,8 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def orphans(spark: SparkSession, d: str) -> DataFrame:
-    """Records without a relationship to another record."""
-    return graph.degrees(records(spark, d), record_edges(spark, d)).where("degree = 0").select("node")
+    """Records without a declared relationship to another record."""
+    return graph.degrees(records(spark, d), record_edges(spark, d, certainty="declared")).where("degree = 0").select("node")
 
 
 def _top_nodes(spark: SparkSession, d: str, n: int) -> DataFrame:
@@ -231,7 +232,7 @@ FROM placed p LEFT JOIN outs o ON o.repository = p.repository AND o.directory =
 SELECT repository, (SELECT count(*) FROM f WHERE f.repository = r.repository) AS files, (SELECT count(DISTINCT node) FROM syms s WHERE s.repository = r.repository) AS symbols,
        (SELECT count(DISTINCT edge_id) FROM call_edges c WHERE c.repository = r.repository) AS edges, (SELECT coalesce(sum(n), 0)::BIGINT FROM f WHERE f.repository = r.repository) AS windows FROM r""",
     "components": f"WITH RECURSIVE {_rel()}, reach AS (SELECT node, node AS other FROM recs UNION SELECT r.node, b.target FROM reach r JOIN twoway b ON b.source = r.other) SELECT node, min(other) AS component FROM reach GROUP BY 1",
-    "orphans": f"WITH {_rel()} SELECT node FROM deg WHERE degree = 0",
+    "orphans": f"WITH {_rel("certainty = 'declared'")} SELECT node FROM deg WHERE degree = 0",
     "focus_neighbourhood": f"""WITH RECURSIVE {_rel()}, walk AS (SELECT node AS focus, node, 0 AS depth FROM tops WHERE r = 1 UNION SELECT w.focus, b.target, w.depth + 1 FROM walk w JOIN twoway b ON b.source = w.node WHERE w.depth < {DEPTH})
 SELECT focus, node, min(depth) AS depth FROM walk GROUP BY 1, 2""",
     "induced_edges": f"WITH {_rel()} SELECT source, target FROM rel WHERE source IN (SELECT node FROM tops WHERE r <= {TOP}) AND target IN (SELECT node FROM tops WHERE r <= {TOP})",

@@ -1 +1 @@
-"""Part of the core engine."""
+"""Streams of deliveries."""
