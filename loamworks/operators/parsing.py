@@ -23,12 +23,13 @@ FOUND = "repository string, path string, row_kind string, qualname string, kind
 _SCHEMA = pa.schema([("repository", pa.string()), ("path", pa.string()), ("row_kind", pa.string()), ("qualname", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("target", pa.string())])
 Row = tuple[str, str | None, str | None, int, int, str | None]
 
-_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
-_BRACE = re.compile(r"[{}]")
+_SKIP = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|(?<=[=(,:;!&|?{}\[])([ \t]*)/(?![/*\s])(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*", re.S)
+_BRACKET = re.compile(r"[(){}]")
 _CALL = re.compile(r"(?<![\w.])((?:\w+\.)*\w+)\s*\(")
+_BODY, _ARROW = re.compile(r"[^{;]*\{"), re.compile(r"[^{;=]*=>\s*\{")
 _NO_CALL = frozenset("if for while switch catch return function func new typeof throw super def class else do try case await synchronized assert".split())
 _DEFINITIONS = {
-    ".js": re.compile(r"(?:^|(?<=[\n;{}]))[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?(?:(?P<f>function)\*?[ \t]+(?P<n>[\w$]+)|(?P<c>class)[ \t]+(?P<m>[\w$]+)|(?:const|let|var)[ \t]+(?P<a>[\w$]+)(?:[ \t]*:[^=\n]+)?[ \t]*=[ \t]*(?:async[ \t]*)?(?:\([^()]*\)(?:[ \t]*:[^=\n{]+)?|[\w$]+)[ \t]*=>)[^{;]*\{"),
+    ".js": re.compile(r"(?:^|(?<=[\n;{}]))[ \t]*(?:export[ \t]+)?(?:default[ \t]+)?(?:async[ \t]+)?(?:(?P<f>function)\*?[ \t]+(?P<n>[\w$]+)[^(\n]*\(|(?P<c>class)[ \t]+(?P<m>[\w$]+)[^{;]*\{|(?:const|let|var)[ \t]+(?P<a>[\w$]+)(?:[ \t]*:[^=\n]+)?[ \t]*=[ \t]*(?:async[ \t]*)?\()"),
     ".go": re.compile(r"(?:^|(?<=\n))(?:(?P<f>func)[ \t]+(?:\([^)]*?\*?(?P<r>\w+)(?:\[[^\]]*\])?\)[ \t]*)?(?P<n>\w+)|(?P<c>type)[ \t]+(?P<m>\w+)[ \t]+(?:struct|interface))[^{\n]*\{"),
     ".java": re.compile(r"(?:^|(?<=[\n;{}]))[ \t]*(?:(?:public|private|protected|static|final|abstract|synchronized|default)[ \t]+)*(?:(?P<c>class|interface|enum|record)[ \t]+(?P<m>\w+)[^{;]*|(?:<[^>]+>[ \t]*)?[\w<>\[\], .?]+[ \t](?P<n>\w+)[ \t]*\([^()]*\)[^{;]*)\{"),
 }
@@ -71,6 +72,7 @@ def _python(text: str) -> Iterator[Row]:
 
 def _braces(text: str, ext: str) -> Iterator[Row]:
     # Comments and literals become spaces, so that places stay.
+    text = text.replace("\r\n", "\n")
     code = _SKIP.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
     line_of: list[int] = [0]
     line_of += [m.end() for m in re.finditer("\n", text)]
@@ -84,8 +86,8 @@ def _braces(text: str, ext: str) -> Iterator[Row]:
 
     closes: dict[int, int] = {}
     opened: list[int] = []
-    for m in _BRACE.finditer(code):
-        if m[0] == "{":
+    for m in _BRACKET.finditer(code):
+        if m[0] in "({":
             opened.append(m.start())
         elif opened:
             closes[opened.pop()] = m.start()
@@ -96,6 +98,11 @@ def _braces(text: str, ext: str) -> Iterator[Row]:
         if name in _NO_CALL:
             continue
         brace = m.end() - 1
+        if code[brace] == "(":  # the body begins after the parameters, for arrows after the arrow
+            body = (_ARROW if groups.get("a") else _BODY).match(code, closes.get(brace, len(code)) + 1)
+            if body is None:
+                continue
+            brace = body.end() - 1
         begin = m.start() + len(m[0]) - len(m[0].lstrip())
         end = closes.get(brace, len(text) - 1)
         outer = [s for s in spans if s[0] < begin and end <= s[1]]
