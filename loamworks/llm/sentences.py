@@ -3,7 +3,8 @@
 A text is first read as blocks: blank lines, headings, list items, block quotes and fenced code end or start a block.
 Inside a block the standard character-property rules apply: a run of terminators of any script (``Sentence_Break`` STerm
 and ATerm, and the ellipsis), then closing quotes and brackets, then white space, or nothing in scripts that set
-none. A candidate is suppressed after abbreviations of several languages, inside quotations that the sentence goes on
+none. A candidate is suppressed after abbreviations of the language of the block (told by its script and function words, else by those of
+the whole text, else those of all languages), inside quotations that the sentence goes on
 after, in ordinals, and after an ellipsis before a lower-case word.
 
 Defined results: offsets count code points from 0, the end is exclusive, no unit has white space at either end; null,
@@ -13,7 +14,10 @@ units again; an empty table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 import regex
@@ -22,14 +26,23 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 
-# Abbreviations that a sentence doesn't end with; the second list holds those that it may end with.
-ABBREVIATIONS = frozenset(
-    """no nos nr sec secs fig figs eq ch chap vol vols p pp ed eds cf vs e.g i.e viz approx ca dept est ref refs dr mr mrs ms prof st
-    vgl abs bzw z.b d.h u.a o.ä s.o s.u evtl ggf inkl exkl sog bspw art bd hrsg ziff kap str tel
-    m mm mme mlle p.ex env c.-à-d c.à.d vol n° av apr
-    p.ej sr sra srta dra ud uds pág págs núm aprox cap ej
-    सं डॉ श्री पृ क्र""".split()
-)
+# Abbreviations that a sentence doesn't end with, of any language and per language; those that are words as well;
+# words that sentences begin with, by which languages are told apart too; abbreviations that a sentence may end with.
+ABBREVIATIONS = {
+    "any": frozenset("cf vs e.g i.e viz ca dr prof nr p pp vol vols".split()),
+    "en": frozenset("nos sec secs fig figs eq ch chap ed eds approx dept est ref refs mr mrs ms st".split()),
+    "de": frozenset("vgl abs bzw z.b d.h u.a o.ä s.o s.u evtl ggf inkl exkl sog bspw art bd hrsg ziff kap str tel ref fig".split()),
+    "fr": frozenset("m mm mme mlle p.ex env c.-à-d c.à.d n° av apr réf ref fig art chap approx".split()),
+    "es": frozenset("p.ej sr sra srta dra ud uds pág págs núm aprox cap ej ref fig art".split()),
+    "hi": frozenset("सं डॉ श्री पृ क्र".split()),
+}
+WORDS_TOO = frozenset("no sec fig ed est ref art abs cap env str ej vol ch st eq bd tel".split())
+STARTERS = {
+    "en": frozenset("the and of is it to in that she he was we they then this these there when after not are be for with as on at by from an if or but no one all its which will".split()),
+    "de": frozenset("der die das und nicht ist ein eine einen mit von den dem zu wird er sie es wir dann nach wenn auch auf für im kein keine danach dieser diese sind oder aber als bei".split()),
+    "fr": frozenset("le la les des et est une un dans que pour pas du au il elle nous ils puis ce cette quand après sur avec ou mais si ne se son sa".split()),
+    "es": frozenset("el la los las y es una un en que para del al por él ella nosotros luego este esta cuando después con o pero si no se su lo".split()),
+}
 MAY_END = frozenset("etc usw usf a.m p.m u.s u.k u.s.a e.u co inc ltd corp bros jr sr. ff al p.m. k.o ph.d".split())
 MONTHS = frozenset("jan feb mar apr jun jul aug sep sept oct nov dec janv févr avr juil déc ene abr ago dic".split())
 ORDINAL_BEFORE = frozenset("der die das dem den des am im vom zum zur beim ans ins bis seit ab jeder jede jedes jeden jedem".split())
@@ -40,15 +53,19 @@ BRACKETS_CLOSE = ")]}）］｝】〕〗〙"
 PAIRS = {"）": "（", "］": "［", "｝": "｛", "】": "【", "〕": "〔", "〗": "〖", "〙": "〘", ")": "(", "]": "[", "}": "{"}
 
 _LINE = regex.compile(r"[^\r\n ]*(?:\r\n|[\r\n ]|\Z)")
+_MARK = regex.compile("[\"“„‘‚’«»‹›「」『』（）［］｛｝【】〔〕〖〗〘〙(){}\\[\\]]")
+_DEVANAGARI = regex.compile(r"\p{Devanagari}")
 _QUOTE = regex.compile(r"[ \t]{0,3}(?:>[ \t]?)+")
 _FENCE = regex.compile(r"\s*(`{3,}|~{3,})")
 _HEADING = regex.compile(r"[ \t]*#{1,6}(?:\s+|$)")
 _ITEM = regex.compile(r"[ \t]*(?:[-*+•‣◦]|(\d{1,9})[.)])(?:[ \t]+(?=\S)|\s*$)")
 _RULE = regex.compile(r"[ \t]*(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,}|=+[ \t]*)$")
 _TERMINATOR = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]+|(?<=[฀-๿])\s+(?=[฀-๿])")
+_STERM = regex.compile(r"\p{Sentence_Break=STerm}")
 _WIDE = frozenset("。！？｡．﹒﹖﹗।॥။။።፧։۔។៕")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}ー々]")
-_WORD = regex.compile(r"[^\s\"'“”„«»‹›()\[\]{}（）「」『』`*_]*\Z")
+_WORD_STOP = frozenset("\"'“”„«»‹›()[]{}（）「」『』`*_")
+_LATIN_WORD = regex.compile(r"\p{Latin}+")
 _NEXT = regex.compile(r"[\p{L}\p{N}\p{M}_$]+(?:[\p{L}\p{N}\p{M}_$]|[-’'](?=\p{L})|[./:(\\](?=[\p{L}\p{N}_)/]))*")
 _OPENERS = "\"'“‘«‹„‚「『〈《（([{【〔`¿¡*_"
 
@@ -115,21 +132,74 @@ def _has_case(ch: str) -> bool:
     return ch.lower() != ch.upper()
 
 
-def _closers(s: str, start: int, i: int, j: int) -> tuple[int, bool, int]:
+class Marks:
+    """Places of the quotation marks and brackets of a block, so that looking back costs the same wherever a unit began."""
+
+    def __init__(self, s: str) -> None:
+        self.s, self.at = s, None
+
+    def places(self, mark: str) -> list[int]:
+        if self.at is None:
+            self.at = {}
+            for m in _MARK.finditer(self.s):
+                self.at.setdefault(m[0], []).append(m.start())
+        return self.at.get(mark, [])
+
+    def last(self, mark: str, start: int, end: int) -> int:
+        places = self.places(mark)
+        n = bisect_left(places, end)
+        return places[n - 1] if n and places[n - 1] >= start else -1
+
+    def count(self, mark: str, start: int, end: int) -> int:
+        places = self.places(mark)
+        return bisect_left(places, end) - bisect_left(places, start)
+
+
+def _word_before(s: str, start: int, i: int) -> str:
+    """The word that ends at ``i``, looked for backwards."""
+    k = i
+    while k > start and not s[k - 1].isspace() and s[k - 1] not in _WORD_STOP:
+        k -= 1
+    return s[k:i]
+
+
+def language(text: str) -> str:
+    """Whose function words a text in Latin letters holds most of, ``hi`` if it has none and Devanagari, else ``""``."""
+    seen = Counter(map(str.lower, _LATIN_WORD.findall(text)))
+    votes = {k: sum(seen[w] for w in words) for k, words in STARTERS.items()}
+    best = max(votes, key=votes.get)
+    if votes[best]:
+        return best if sum(v == votes[best] for v in votes.values()) == 1 else ""
+    return "hi" if _DEVANAGARI.search(text) else ""
+
+
+_EVERY = frozenset().union(*ABBREVIATIONS.values()) | WORDS_TOO
+
+
+def _abbreviations(lang: str) -> frozenset[str]:
+    """Those of the language, or of all where it isn't known."""
+    return _OF.get(lang, _EVERY_ABBREVIATION)
+
+
+_EVERY_ABBREVIATION = frozenset().union(*ABBREVIATIONS.values())
+_OF = {k: v | ABBREVIATIONS["any"] for k, v in ABBREVIATIONS.items() if k != "any"}
+
+
+def _closers(s: str, marks: Marks, start: int, i: int, j: int) -> tuple[int, bool, int]:
     """End of the closing marks after a terminator at ``i:j``; whether a quotation closes; where a bracket that closes was opened (-1: none)."""
     k, quote, bracket, n = j, False, -1, len(s)
     while k < n:
         ch = s[k]
         if ch == '"':
-            if s.count('"', start, i) % 2 == 0:
+            if marks.count('"', start, i) % 2 == 0:
                 break
             quote = True
         elif ch == "“":
-            if s.rfind("„", start, i) <= s.rfind("“", start, i):
+            if marks.last("„", start, i) <= marks.last("“", start, i):
                 break
             quote = True
         elif ch == "‘":
-            if s.rfind("‚", start, i) < 0:
+            if marks.last("‚", start, i) < 0:
                 break
             quote = True
         elif ch in QUOTES_CLOSE:
@@ -137,12 +207,12 @@ def _closers(s: str, start: int, i: int, j: int) -> tuple[int, bool, int]:
                 break
             quote = True
         elif ch in BRACKETS_CLOSE:
-            bracket = max(bracket, s.rfind(PAIRS[ch], start, i))
+            bracket = max(bracket, marks.last(PAIRS[ch], start, i))
         elif ch.isspace():
             p = k + 1
             while p < n and s[p].isspace():
                 p += 1
-            if p < n and s[p] == "»" and s.rfind("«", start, i) > s.rfind("»", start, i):
+            if p < n and s[p] == "»" and marks.last("«", start, i) > marks.last("»", start, i):
                 k, quote = p, True
             else:
                 break
@@ -152,7 +222,7 @@ def _closers(s: str, start: int, i: int, j: int) -> tuple[int, bool, int]:
     return k, quote, bracket
 
 
-def _ends(s: str, start: int, i: int, j: int, k: int, quote: bool, bracket: int) -> bool:
+def _ends(s: str, start: int, i: int, j: int, k: int, quote: bool, bracket: int, lang_of: Callable[[], str]) -> bool:
     """Whether a unit that began at ``start`` ends at ``k``: terminator at ``i:j``, closing marks up to ``k``."""
     n = len(s)
     mark = s[i:j]
@@ -165,7 +235,8 @@ def _ends(s: str, start: int, i: int, j: int, k: int, quote: bool, bracket: int)
         return True
     first = s[p]
     ellipsis = "…" in mark or "..." in mark
-    wide = mark[-1] in _WIDE
+    # Scripts other than Latin, Greek and Cyrillic need no space after their own marks.
+    wide = mark[-1] in _WIDE or (ord(mark[-1]) > 0x58F and not 0x2000 <= ord(mark[-1]) < 0x2070 and _STERM.match(mark[-1]) is not None)
     if not spaced:
         if mark == "．" and i and s[i - 1].isdigit() and after.isdigit():
             return False
@@ -191,7 +262,7 @@ def _ends(s: str, start: int, i: int, j: int, k: int, quote: bool, bracket: int)
     if mark != "." or k > j:
         return True
     # a single full stop without closing marks
-    before = _WORD.search(s, start, i)[0]
+    before = _word_before(s, start, i)
     low = before.lower()
     if first.isdigit() and low == "no":
         return before == "No" and not s[start : i - 2].strip()
@@ -201,7 +272,12 @@ def _ends(s: str, start: int, i: int, j: int, k: int, quote: bool, bracket: int)
         return False
     if low in MAY_END or (len(before) == 1 and low == "m" and s[max(start, i - 3) : i - 1] in ("p.", "a.", "p. ", "a. ", ". ")):
         return not _plain_lower(token)
-    if low in ABBREVIATIONS or (low == "ex" and s[max(start, i - 4) : i - 2].lower() in ("p.", ".\u00a0", ". ")):
+    # A capitalised article, pronoun or the like begins a sentence even after an abbreviation that is a word as well, or a letter.
+    lang = lang_of() if len(before) == 1 or low in _EVERY else ""
+    starts = token[:1].isupper() and any(token.lower() in STARTERS[x] for x in ([lang] if lang in STARTERS else STARTERS))
+    if starts and (low in WORDS_TOO or (len(before) == 1 and before.isalpha() and s[max(start, i - 3) : i - 1].strip("\u00a0 ") not in ("", ".") and i - 2 > start and s[i - 2].isspace() and s[i - 3].islower())):
+        return True
+    if (low in _EVERY and low in _abbreviations(lang)) or (low == "ex" and s[max(start, i - 4) : i - 2].lower() in ("p.", ".\u00a0", ". ")):
         return False
     if len(before) == 1 and before.isalpha() and not _CJK.match(before) and _has_case(before):
         return False
@@ -230,6 +306,17 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
         if a < b:
             out.append((at + a, at + b))
 
+    told: dict[int, str] = {}
+
+    def language_of(s: str, a: int) -> str:
+        """The block's language, else the text's; each is told once and only if some abbreviation asks."""
+        if a not in told:
+            told[a] = language(s)
+            if not told[a]:
+                told[-1] = told.get(-1) or language(text)
+                told[a] = told[-1]
+        return told[a]
+
     for a, b, heading, marks in blocks(text):
         s = text[a:b]
         if heading:
@@ -237,7 +324,7 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
             continue
         for x, y in marks:  # quote marks between the lines of a block count as white space
             s = s[: x - a] + " " * (y - x) + s[y - a :]
-        start = 0
+        start, found = 0, None
         for m in _TERMINATOR.finditer(s):
             i, j = m.span()
             if i < start:
@@ -246,8 +333,9 @@ def sentence_units(text: str | None) -> list[tuple[int, int]]:
                 put(s, a, start, i)
                 start = j
                 continue
-            k, quote, bracket = _closers(s, start, i, j)
-            if k < len(s) and _ends(s, start, i, j, k, quote, bracket):
+            found = found or Marks(s)
+            k, quote, bracket = _closers(s, found, start, i, j)
+            if k < len(s) and _ends(s, start, i, j, k, quote, bracket, partial(language_of, s, a)):
                 put(s, a, start, k)
                 start = k
         put(s, a, start, b - a)
