@@ -8,11 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import invalid, leakage, sentences, tokens, vendored
+from . import invalid, leakage, quantiles, sentences, tokens, vendored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.measured_percentiles(table(spark, d, "measurements"))
+
+
+def p3_days(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.measured_percentiles(table(spark, d, "measurements"), by_day=True)
+
+
+def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
+    return quantiles.combined_days(table(spark, d, "measurements"))
+
+
+def p3_bound(spark: SparkSession, d: str) -> DataFrame:
+    """Is the stated error kept?"""
+    return quantiles.bound_holds(table(spark, d, "measurements"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return vendored.not_by_hand(table(spark, d, "source_files"), table(spark, d, "upstream_files")).select("file_id")
 
@@ -58,5 +75,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentences(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p4_found, p4_report, p5_found, p5_failures, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_percentiles, p3_days, p3_combined_days, p3_bound, p4_found, p4_report, p5_found, p5_failures, p5_report, p6_ids, p6_counts, p7_found, p7_report, p8_found)}
+_SHARES = ", ".join(f"({q}::DOUBLE)" for q in quantiles.QUANTILES)
+ORACLE: dict[str, str] = {
+    # Exact ranks: the bound is kept, or the rows differ.
+    "p3_bound": f"""WITH one AS (SELECT s[2] AS arm, s[3] AS run_condition, s[4] AS duration_ms, s[5] AS tool_calls FROM (SELECT max((recorded_at, arm, run_condition, duration_ms, tool_calls)) AS s FROM measurements WHERE run_id IS NOT NULL GROUP BY run_id)),
+m AS (SELECT 'duration_ms' AS metric, arm, run_condition, duration_ms AS x FROM one UNION ALL SELECT 'tool_calls', arm, run_condition, tool_calls FROM one),
+n AS (SELECT metric, arm, run_condition, count(*) AS n_values FROM m WHERE x >= 0 GROUP BY 1, 2, 3)
+SELECT metric, arm, run_condition, q AS quantile, n_values, true AS within_bound FROM n, (VALUES {_SHARES}) v(q)""",
+}
