@@ -1,4 +1,4 @@
-"""Queries of the general training-data problems: orphan references, snapshot changes, percentiles."""
+"""Queries of the general training-data problems: orphan references and snapshot changes."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import orphans, quantiles, snapshots
+from ..operators import orphans, snapshots
 from ..sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,19 +41,7 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("repository", "snapshot_no").agg(*(F.count_if(F.col("change_kind") == k).alias(k) for k in ("added", "changed", "removed")))
 
 
-def p3_percentiles(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.measured_percentiles(table(spark, d, "measurements"))
-
-
-def p3_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.measured_percentiles(table(spark, d, "measurements"), by_day=True)
-
-
-def p3_combined_days(spark: SparkSession, d: str) -> DataFrame:
-    return quantiles.combined_days(table(spark, d, "measurements"))
-
-
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cascade, p1_report, p2_found, p2_report, p3_percentiles, p3_days, p3_combined_days)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_cascade, p1_report, p2_found, p2_report)}
 
 _CANON = r"regexp_replace(regexp_replace({0}, '[\\/]+', '/', 'g'), '^(\./)+', '')"
 
