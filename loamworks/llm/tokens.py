@@ -15,13 +15,15 @@ length are encoded whole; equal texts give equal ids; an empty table gives no ro
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -37,10 +39,21 @@ FRAGMENT = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
 
 
+def share_vocabulary(spark: SparkSession, path: str) -> None:
+    """Sends the file to the executors of a cluster, once; workers that have no file at its path read what was sent."""
+    sc = spark.sparkContext
+    if (sc.applicationId, path) not in _SHARED and not sc.master.startswith("local") and os.path.exists(path):
+        sc.addFile(path)
+        _SHARED.add((sc.applicationId, path))
+
+
+_SHARED: set[tuple[str, str]] = set()
+
+
 def free_pairs(ranks: dict[bytes, int]) -> list[bytes]:
     """For each first byte 256 flags: whether the pair with a second byte occurs inside no token."""
     free = [bytearray(b"\1" * 256) for _ in range(256)]
@@ -98,10 +111,25 @@ def _encode(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
 def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids) of every row; one pass over the two columns, no shuffle."""
     ship(documents.sparkSession)
+    share_vocabulary(documents.sparkSession, vocabulary)
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(vocabulary), "doc_id long, ids array<int>")
 
 
+def _count(path: str, n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
+        for batch in batches:
+            n = pa.array([len(e.encode(t.as_py())) for t in batch.column(n_keys)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keys], n], names=[*batch.schema.names[:n_keys], "n"])
+
+    return run
+
+
 def token_counts(documents: DataFrame, by: list[str], vocabulary: str = VOCABULARY) -> DataFrame:
-    """Texts and tokens per group."""
-    counts = token_ids(documents, vocabulary).select("doc_id", F.size("ids").cast("long").alias("n"))
-    return documents.select("doc_id", *by).join(counts, "doc_id").groupBy(*by).agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"))
+    """Texts and tokens per group; the columns to group by go through the encoding, every row counts once."""
+    ship(documents.sparkSession)
+    share_vocabulary(documents.sparkSession, vocabulary)
+    rows = documents.select(*by, F.col("text").cast("string").alias("text"))
+    fields = ", ".join(f"`{c}` {k}" for c, k in rows.drop("text").dtypes)
+    counts = rows.mapInArrow(_count(vocabulary, len(by)), f"{fields}, n long")
+    return counts.groupBy(*by).agg(F.count("*").alias("texts"), F.sum("n").alias("tokens"))
