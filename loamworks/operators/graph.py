@@ -144,3 +144,27 @@ def ancestors(path: Column) -> Column:
     """The directories above a path, nearest last; the root is left out."""
     parts = F.split(path, "/")
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>"))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(node, layer) in an order of work: layer 0 depends on nothing, each later one only on earlier ones.
+
+    ``edges`` point from what depends to what it depends on. Nodes in a circle, or that depend on one, have a null layer.
+    """
+    e = materialise(clean(edges), "edges")
+    nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).distinct()
+    left, done, n = materialise(nodes, "nodes"), [], 0
+    while True:
+        waiting = e.join(left.withColumnRenamed("node", "target"), "target", "left_semi").select(F.col("source").alias("node")).distinct()
+        free = materialise(left.join(waiting, "node", "left_anti").withColumn("layer", F.lit(n)), "layer")
+        if free.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, left.withColumn("layer", F.lit(None).cast("int"))])
+        done.append(free)
+        left, n = materialise(left.join(free.select("node"), "node", "left_anti"), "nodes", replaces=[left]), n + 1
+
+
+def nearest_above(paths: DataFrame, roots: DataFrame) -> DataFrame:
+    """``paths`` (repository, path) with the nearest of ``roots`` (repository, root) among the directories above, ``.`` if there is none."""
+    above = paths.select("repository", "path", F.explode(ancestors(F.col("path"))).alias("root"))
+    held = above.join(roots.distinct(), ["repository", "root"]).groupBy("repository", "path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return paths.join(held, ["repository", "path"], "left").withColumn("root", F.coalesce("root", F.lit(".")))

@@ -20,7 +20,7 @@ OPENS, CLOSES = "error", "purchase"
 LAST, OWNERS = 20, 3
 
 
-def _counted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def counted_files(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     counted = snapshots.counted_snapshots(table(spark, d, "file_rows"), table(spark, d, "snapshots"))
     return counted, snapshots.snapshot_files(table(spark, d, "file_rows"), counted)
 
@@ -38,23 +38,23 @@ def snapshot_digest(spark: SparkSession, d: str) -> DataFrame:
 
 def snapshot_refresh(spark: SparkSession, d: str) -> DataFrame:
     """Files reused, changed, added and removed, next to what the pass believed."""
-    _, files = _counted(spark, d)
+    _, files = counted_files(spark, d)
     n = freshness.refresh_counters(files, _changes(spark, d))
     runs = table(spark, d, "refresh_runs").where("repository is not null").groupBy("repository", F.col("snapshot_no").cast("int").alias("snapshot_no")).agg(F.max_by("changed", F.struct("finished_at", "run_id")).alias("believed_changed"))
     return n.join(runs, ["repository", "snapshot_no"], "left")
 
 
 def move_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return freshness.move_candidates(_counted(spark, d)[1])
+    return freshness.move_candidates(counted_files(spark, d)[1])
 
 
 def binding_freshness(spark: SparkSession, d: str) -> DataFrame:
-    counted, files = _counted(spark, d)
+    counted, files = counted_files(spark, d)
     return freshness.binding_freshness(table(spark, d, "knowledge_entries"), files, counted)
 
 
 def pattern_impact(spark: SparkSession, d: str) -> DataFrame:
-    return freshness.pattern_impact(table(spark, d, "knowledge_entries"), _changes(spark, d), _counted(spark, d)[0])
+    return freshness.pattern_impact(table(spark, d, "knowledge_entries"), _changes(spark, d), counted_files(spark, d)[0])
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
