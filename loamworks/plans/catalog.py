@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import data_quality, knowledge, records, retrieval, scans, structure, work
+from . import data_quality, knowledge, records, relations, retrieval, scans, structure, work
 
-MODULES = (data_quality, retrieval, structure, scans, knowledge, work, records)
+MODULES = (data_quality, retrieval, structure, scans, knowledge, work, records, relations)
 
 
 def queries() -> dict:
