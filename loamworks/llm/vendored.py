@@ -56,6 +56,10 @@ _NO_TOOL = re.compile(r"\b(?:not|never|hand-?) ?(?:auto-?)?generated\b|\bwe do(?
 _COMMENT_LINE = re.compile(r"(?://+!?|#+!?|/\*+!?|\*+(?!/)|<!--|--+|;+|\"\"\"|''')[ \t]?(.*?)(?:\*+/|-->|\"\"\"|''')?[ \t]*\Z")
 _CODE = frozenset((".py", ".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx", ".go", ".java", ".kt", ".rs", ".c", ".h", ".cc", ".cpp", ".cs", ".rb", ".php", ".swift", ".css"))
 _TEXT = frozenset((".md", ".mdx", ".txt", ".rst"))
+#: Words of code that does something; a file that only holds data has none outside of literals.
+_STATEMENT = re.compile(r"\b(?:def|function|func|return|if|for|while|switch|lambda|import|raise|throw|new|print\w*)\b|=>")
+_LOCK = re.compile(r'"lock(?:file)?Version"\s*:|"_meta"\s*:\s*\{\s*"hash"')
+_LOCKED = re.compile(r'"(?:integrity|checksum|resolved|hash(?:es)?|sha(?:1|256|512))"\s*:')
 _EQUALS = re.compile(r"\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'")
 _ANY_WORD = re.compile(r"\w+")
 _STRIPPED = re.compile(r"(\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'|`[^`]*`)|//[^\r\n]*|/\*.*?\*/|^[ \t]*#[^\r\n]*", re.S | re.M)
@@ -104,7 +108,7 @@ def data_block(code: str) -> bool:
     shape, n = _LITERAL.subn("", code)
     dense = len("".join(code.split()))
     left = len(re.sub(r"[\s,+\\]", "", shape))
-    return dense > 400 and n and left < 0.15 * dense and len(_WORD.findall(shape)) <= 40
+    return bool(dense > 400 and n and left < 0.15 * dense and len(_WORD.findall(shape)) <= 40 and not _STATEMENT.search(shape))
 
 
 #: What an outer declaration names, in the languages of ``_CODE``; a member may be indented by one step.
@@ -139,6 +143,8 @@ def rule(path: str, body: str | None, code: str) -> str | None:
         return None
     if folders & GENERATED_DIRS or (ext in _CODE and _GENERATED_NAME.search(name)):
         return "generated name"
+    if ext == ".json" and _LOCK.search(body) and _LOCKED.search(body):
+        return "lock"
     if ext in _CODE:
         if generated_header(body):
             return "generated header"
