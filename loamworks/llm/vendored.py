@@ -58,6 +58,8 @@ _CODE = frozenset((".py", ".ts", ".tsx", ".js", ".mjs", ".cjs", ".jsx", ".go", "
 _TEXT = frozenset((".md", ".mdx", ".txt", ".rst"))
 #: Words of code that does something; a file that only holds data has none outside of literals.
 _STATEMENT = re.compile(r"\b(?:def|function|func|return|if|for|while|switch|lambda|import|raise|throw|new|print\w*)\b|=>")
+#: The data has a name or is exported: plain JSON under another extension is a misplaced file.
+_NAMED = re.compile(r"=|\bexport\b|\breturn\b")
 _LOCK = re.compile(r'"lock(?:file)?Version"\s*:|"_meta"\s*:\s*\{\s*"hash"')
 _LOCKED = re.compile(r'"(?:integrity|checksum|resolved|hash(?:es)?|sha(?:1|256|512))"\s*:')
 _EQUALS = re.compile(r"\"(?:[^\"\\\r\n]|\\.)*\"|'(?:[^'\\\r\n]|\\.)*'")
@@ -108,7 +110,7 @@ def data_block(code: str) -> bool:
     shape, n = _LITERAL.subn("", code)
     dense = len("".join(code.split()))
     left = len(re.sub(r"[\s,+\\]", "", shape))
-    return bool(dense > 400 and n and left < 0.15 * dense and len(_WORD.findall(shape)) <= 40 and not _STATEMENT.search(shape))
+    return bool(dense > 400 and n and left < 0.15 * dense and len(_WORD.findall(shape)) <= 40 and _NAMED.search(shape) and not _STATEMENT.search(shape))
 
 
 #: What an outer declaration names, in the languages of ``_CODE``; a member may be indented by one step.

@@ -12,7 +12,7 @@ def of(path, body):
 @pytest.mark.parametrize(
     ("path", "body", "found"),
     [
-        ("a/vendor/x/b.js", None, "vendor directory"), ("a/vendors/b.js", "f()", None), ("src/generators/vendor.ts", "f()", None), ("a/deps-lock.json", "{}", "lock"), ("a/lockstep.json", "{}", None), ("a/resolved_index8.json", '{"lockVersion": 3, "entries": [{"module": "x", "integrity": "sha"}]}', "lock"), ("a/b.json", '{"lockVersion": 3}', None), ("a/b.py", 'import re\n\nLONG = "' + "word " * 300 + '"\n\ndef f(x):\n    return x\n', None), ("a/b.go", 'package data\n\nconst X = "' + "ab/" * 300 + '"\n', "data"), ("a/b_pb2.py", "x = 1", "generated name"), ("a/generated_ids.py", "x = 1", None),
+        ("a/vendor/x/b.js", None, "vendor directory"), ("a/vendors/b.js", "f()", None), ("src/generators/vendor.ts", "f()", None), ("a/deps-lock.json", "{}", "lock"), ("a/lockstep.json", "{}", None), ("a/resolved_index8.json", '{"lockVersion": 3, "entries": [{"module": "x", "integrity": "sha"}]}', "lock"), ("a/b.json", '{"lockVersion": 3}', None), ("a/b.ts", '{"a": [' + "1, " * 300 + "2]}", None), ("a/b.py", 'import re\n\nLONG = "' + "word " * 300 + '"\n\ndef f(x):\n    return x\n', None), ("a/b.go", 'package data\n\nconst X = "' + "ab/" * 300 + '"\n', "data"), ("a/b_pb2.py", "x = 1", "generated name"), ("a/generated_ids.py", "x = 1", None),
         ("a/b.py", "# Diese Datei wurde automatisch von x-gen erzeugt.\nx = 1", "generated header"), ("a/b.go", "// Code generated by x. DO NOT EDIT.\npackage a", "generated header"), ("a/b.ts", "/*\n * Note.\n *\n * <auto-generated>\n */\nf()", "generated header"),
         ("a/b.ts", "// not generated: written for the cursor\nf()", None), ("a/b.ts", "// ids are generated by the cursor, never typed in\nf()", None), ("a/b.ts", "// we do not edit the cursor in place\nf()", None), ("a/b.py", "x = '''\n# @generated\n'''\n", None),
         ("vendor/a.md", "x", None), ("a.txt", "", None), ("a/b.js", None, None), ("a/b.js", "", None), ("a/b.min.js", "var e={}", "minified"), ("a/min.ts", "f()", None),
