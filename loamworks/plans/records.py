@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import canonical
+from ..functions.text import lines
 from ..operators import freshness, graph, search, snapshots
 from ..session import materialise
 from ..sources.tables import table
-from . import common, scans, structure
+from . import common, knowledge, scans, structure
 from .data_quality import COUNTED
-from .knowledge import NOW, STALE_DAYS, counted_files
+from .knowledge import NOW, STALE_DAYS, counted_files, pattern_impact, trust_signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 LIMIT, NAMES = 10, 100
@@ -103,7 +104,24 @@ def code_search(spark: SparkSession, d: str) -> DataFrame:
     return search.top(best, LIMIT, "rank", "path").select("query_id", F.col("position").cast("long").alias("position"), "path", "rank")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (claim_bindings, claim_verdicts, handoff_lifecycle, artifact_drift, work_order, changed_symbol_names, workspace_map, bundle_roots, code_search)}
+def quote_check(spark: SparkSession, d: str) -> DataFrame:
+    """Do the lines that each live symbol states still hold its name? Symbols and states per repository."""
+    key = ["repository", "path"]
+    files = table(spark, d, "source_files").where("repository is not null and path is not null").select("repository", canonical(F.col("path")).alias("path"), lines(F.col("body")).alias("l")).dropDuplicates(key)
+    s = table(spark, d, "symbols").where("removed_at is null and repository is not null and path is not null").select("repository", canonical(F.col("path")).alias("path"), "symbol_key", "symbol_name", "start_line", "end_line").distinct()
+    quoted = F.array_join(F.slice("l", F.col("start_line"), F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))), "\n")
+    state = F.when(F.col("l").isNull(), "missing").when((F.col("start_line") < 1) | (F.col("end_line") > F.size("l")), "out of range").when(quoted.contains(F.col("symbol_name")), "quoted").otherwise("moved")
+    return s.join(files, key, "left").groupBy("repository", state.alias("state")).agg(F.count("*").alias("symbols"))
+
+
+def documentation_assess(spark: SparkSession, d: str) -> DataFrame:
+    """What a repository's last changes ask of each entry: nothing, an update, or a decision where a person vouched for it."""
+    impact, trust = pattern_impact(spark, d), trust_signals(spark, d)
+    outcome = F.when(F.col("outcome") == "no-op", "no-op").when(F.col("trust") == "human-reviewed", "decision-required").otherwise("update")
+    return impact.join(trust, "entry_id").select("entry_id", outcome.alias("outcome"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (quote_check, documentation_assess, claim_bindings, claim_verdicts, handoff_lifecycle, artifact_drift, work_order, changed_symbol_names, workspace_map, bundle_roots, code_search)}
 
 _C = common.canon
 _BOUND = f"""WITH {COUNTED}, src AS (SELECT DISTINCT entry_id, repository, snapshot_no, {_C("source")} AS key FROM (SELECT entry_id, repository, snapshot_no, unnest(sources) AS source FROM knowledge_entries) WHERE source IS NOT NULL AND entry_id IS NOT NULL AND repository IS NOT NULL AND NOT contains(source, '*') AND NOT contains(source, '{{')),
@@ -115,6 +133,10 @@ _PARTS = [f"SELECT repository, 'file' AS kind, {_C('path')} AS identity FROM sou
 _KEYED = f"repository || '/' || {_C('path')}"
 
 ORACLE: dict[str, str] = {
+    "quote_check": rf"""WITH f AS (SELECT repository, {_C("path")} AS path, string_split_regex(any_value(body), '\r?\n') AS l FROM source_files WHERE repository IS NOT NULL AND path IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT DISTINCT repository, {_C("path")} AS path, symbol_key, symbol_name, start_line, end_line FROM symbols WHERE removed_at IS NULL AND repository IS NOT NULL AND path IS NOT NULL)
+SELECT s.repository, CASE WHEN f.l IS NULL THEN 'missing' WHEN start_line < 1 OR end_line > len(f.l) THEN 'out of range' WHEN contains(array_to_string(f.l[start_line:end_line], chr(10)), symbol_name) THEN 'quoted' ELSE 'moved' END AS state, count(*) AS symbols FROM s LEFT JOIN f ON f.repository = s.repository AND f.path = s.path GROUP BY 1, 2""",
+    "documentation_assess": f"WITH i AS ({knowledge.ORACLE['pattern_impact']}), t AS ({knowledge.ORACLE['trust_signals']}) SELECT entry_id, CASE WHEN outcome = 'no-op' THEN 'no-op' WHEN trust = 'human-reviewed' THEN 'decision-required' ELSE 'update' END AS outcome FROM i JOIN t USING (entry_id)",
     "claim_bindings": f"{_BOUND} SELECT entry_id, key, state FROM b",
     "claim_verdicts": f"{_BOUND} SELECT entry_id, CASE WHEN bool_and(state = 'exact') THEN 'current' WHEN bool_or(state IN ('unsupported', 'ambiguous', 'missing')) THEN 'unresolved' ELSE 'review-needed' END AS verdict FROM b GROUP BY 1",
     "handoff_lifecycle": f"WITH h AS (SELECT doc_id, source, updated_at, row_number() OVER (PARTITION BY source ORDER BY updated_at DESC, doc_id DESC) AS r FROM documents WHERE doc_type = 'handoff' AND source IS NOT NULL AND updated_at IS NOT NULL) SELECT doc_id, source, CASE WHEN r > 1 THEN 'superseded' WHEN updated_at + INTERVAL {STALE_DAYS} DAY <= TIMESTAMP '{NOW}' THEN 'expired' ELSE 'active' END AS state FROM h",

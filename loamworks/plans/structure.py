@@ -175,7 +175,14 @@ def longest_prefix_scope(spark: SparkSession, d: str) -> DataFrame:
     return files.join(held, ["repository", "path"], "left").select("repository", "path", F.coalesce("scope", F.lit(".")).alias("scope"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (trace_callees, trace_callers, trace_unresolved_boundary, change_impact, hotspots, clusters, repository_totals, components, orphans, focus_neighbourhood, induced_edges, cycle_nodes, area_report, index_rollup, longest_prefix_scope)}
+def cross_root_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of other repositories that calls from removed symbols lead to, with the symbol each walk began at."""
+    seeds = _removed(spark, d).select(F.col("node").alias("seed"), "node")
+    reached = graph.walk(seeds, _sure(call_edges(spark, d)), DEPTH + 1, ("seed",))
+    return reached.where(F.substring_index("seed", "::", 1) != F.substring_index("node", "::", 1)).select("seed", "node", "depth")
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (cross_root_walk, trace_callees, trace_callers, trace_unresolved_boundary, change_impact, hotspots, clusters, repository_totals, components, orphans, focus_neighbourhood, induced_edges, cycle_nodes, area_report, index_rollup, longest_prefix_scope)}
 
 _C, _D = common.canon, common.dirname
 
@@ -222,6 +229,8 @@ ORACLE: dict[str, str] = {
 seeds AS (SELECT DISTINCT s.node FROM syms s JOIN source_files f ON f.repository = s.repository AND {_C("f.path")} = {_C("s.path")} WHERE f.status = 'failed'),
 walk AS (SELECT node AS seed, node, 0 AS depth FROM seeds UNION SELECT w.seed, e.source, w.depth + 1 FROM walk w JOIN sure e ON e.target = w.node WHERE w.depth < {DEPTH})
 SELECT seed, node, min(depth) AS depth FROM walk GROUP BY 1, 2 HAVING min(depth) > 0""",
+    "cross_root_walk": f"""WITH RECURSIVE {_EDGES}, {_SYMBOLS}, {_SEEDS}, walk AS (SELECT node AS seed, node, 0 AS depth FROM seeds UNION SELECT w.seed, e.target, w.depth + 1 FROM walk w JOIN sure e ON e.source = w.node WHERE w.depth < {DEPTH + 1})
+SELECT seed, node, min(depth) AS depth FROM walk WHERE split_part(seed, '::', 1) <> split_part(node, '::', 1) GROUP BY 1, 2""",
     "hotspots": f"WITH {_MAP} SELECT repository, path, incoming_files, outgoing_files, incoming_files + outgoing_files AS coupling, symbol_count::BIGINT AS symbol_count FROM each WHERE incoming_files + outgoing_files > 0",
     "clusters": f"""WITH {_MAP}, placed AS (SELECT *, {_D("path")} AS directory, row_number() OVER (PARTITION BY repository, {_D("path")} ORDER BY incoming_files + outgoing_files DESC, coalesce(symbol_count, 0) DESC, path) AS r FROM each),
 outs AS (SELECT repository, {_D("s")} AS directory, count(DISTINCT {_D("t")}) AS n FROM high WHERE {_D("s")} <> {_D("t")} GROUP BY 1, 2)
