@@ -1,12 +1,29 @@
-"""Pieces of SQL that the oracles of several modules share."""
+"""Pieces that the queries and the SQL of several modules share."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.text import ACCENTED, PLAIN
 
 _CANON = r"regexp_replace(regexp_replace({0}, '[\\/]+', '/', 'g'), '^(\./)+', '')"
 
 
+def wide(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with its int columns as long, as SQL counts them."""
+
+    @wraps(query)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = query(spark, d)
+        return df.withColumns({c: F.col(c).cast("long") for c, k in df.dtypes if k == "int"})
+
+    return run
+
+
 def canon(x: str) -> str:
     """Canonical path."""
     return _CANON.format(x)

@@ -31,10 +31,12 @@ def best_of(files: DataFrame, queries: DataFrame) -> DataFrame:
     return search.best_chunks(search.ranked_chunks(search.index(search.chunk_windows(files)), queries)).select("query_id", "path", "start_line", "rank")
 
 
+@common.wide
 def chunk_windows(spark: SparkSession, d: str) -> DataFrame:
     return search.chunk_windows(documents(spark, d)).select("path", "start_line", "end_line", "heading", (F.col("end_line") - F.col("start_line") + 1).alias("n_lines"))
 
 
+@common.wide
 def query_terms_of_items(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("query_id", F.posexplode(query_terms(F.col("query"))).alias("position", "term")).withColumn("position", F.col("position") + 1)
 
@@ -48,14 +50,17 @@ def postings_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.index(search.chunk_windows(documents(spark, d))).select("path", "start_line", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
+@common.wide
 def ranked_search(spark: SparkSession, d: str) -> DataFrame:
     return search.top(best_of(documents(spark, d), items(spark, d)), LIMIT, "rank", "path").select("query_id", "position", "path", "start_line", "rank")
 
 
+@common.wide
 def best_chunk_per_file(spark: SparkSession, d: str) -> DataFrame:
     return best_of(documents(spark, d), items(spark, d))
 
 
+@common.wide
 def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     """The scope filters before files are ranked against each other, but the statistics are those of the whole index."""
     best = best_of(documents(spark, d), items(spark, d))
@@ -65,6 +70,7 @@ def scoped_search(spark: SparkSession, d: str) -> DataFrame:
     return search.top(best.where(held), LIMIT, "rank", "path").select("query_id", "position", "path", "rank")
 
 
+@common.wide
 def language_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     files = documents(spark, d)
     best = best_of(files, items(spark, d)).join(files.where("lower(lang) like 'en%'").select("path"), "path", "left_semi")
@@ -76,6 +82,7 @@ def _title_matches(best: DataFrame, files: DataFrame, queries: DataFrame) -> Dat
     return best.join(titled, ["query_id", "path"], "left").withColumn("title_match", F.coalesce("title_match", F.lit(0)))
 
 
+@common.wide
 def balanced_search(spark: SparkSession, d: str) -> DataFrame:
     """Scopes are the directories two levels deep."""
     files, queries = documents(spark, d), items(spark, d)
@@ -87,6 +94,7 @@ def _titles(files: DataFrame) -> DataFrame:
     return files.where("title is not null and doc_type is not null").groupBy(F.col("doc_type").alias("query_id")).agg(F.min("title").alias("query"))
 
 
+@common.wide
 def title_boost_search(spark: SparkSession, d: str) -> DataFrame:
     """One title per type of document is the query; documents with exactly that title come first."""
     files = documents(spark, d)

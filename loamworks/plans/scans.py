@@ -72,6 +72,7 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
     return s.select("repository", canonical(F.col("path")).alias("path"), F.col("symbol_key").alias("symbol"), "start_line", "end_line").distinct()
 
 
+@common.wide
 def regex_find_all(spark: SparkSession, d: str) -> DataFrame:
     """Lines that match, the symbol around them, and how many distinct symbols call it."""
     hits = spans.enclosing(spans.find_lines(source_texts(spark, d), PATTERN, *KEYS), _spans(spark, d), KEYS)
@@ -80,23 +81,27 @@ def regex_find_all(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(callers, ["repository", "symbol"], "left").select("repository", "path", "line", "symbol", F.coalesce("callers", F.lit(0).cast("long")).alias("callers"), "text")
 
 
+@common.wide
 def match_groups(spark: SparkSession, d: str) -> DataFrame:
     """Matching lines by file and symbol."""
     hits = spans.enclosing(spans.find_lines(source_texts(spark, d), PATTERN, *KEYS), _spans(spark, d), KEYS)
     return hits.groupBy("repository", "path", "symbol").agg(F.count("*").alias("matches"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
 
+@common.wide
 def enclosing_span(spark: SparkSession, d: str) -> DataFrame:
     """The symbol around each line with a remark."""
     return spans.enclosing(spans.find_lines(source_texts(spark, d), TODO, *KEYS), _spans(spark, d), KEYS).select(*KEYS, "line", "symbol")
 
 
+@common.wide
 def diff_impact_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Runs of lines with remarks and the symbols they touch; null: module level."""
     ranges = spans.runs_of_lines(spans.find_lines(source_texts(spark, d), TODO, *KEYS), KEYS)
     return spans.overlapping(ranges, _spans(spark, d), KEYS).select(*KEYS, "start", F.col("count").alias("n_lines"), "symbol")
 
 
+@common.wide
 def hygiene_scan(spark: SparkSession, d: str) -> DataFrame:
     """The first line of each kind that should not be published, per document."""
     docs = table(spark, d, "documents").select("doc_id", "text")

@@ -126,10 +126,12 @@ def _measurements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "measurements")
 
 
+@common.wide
 def trial_schedule(spark: SparkSession, d: str) -> DataFrame:
     return study.schedule(_measurements(spark, d))
 
 
+@common.wide
 def missing_trials(spark: SparkSession, d: str) -> DataFrame:
     return study.missing_trials(_measurements(spark, d))
 
