@@ -28,6 +28,8 @@ REMEMBERED = 200_000
 SHAPE = 400
 #: Recursion of rules inside one shape; these are plain Python calls, which take no C stack.
 DEPTH = 200_000
+#: Results by rule and position that one shape may hold at a time.
+TABLE = 1 << 19
 FIRST_CODE = 0x4E00
 #: Codes of groups: 1,024 for each bracket, one bit per rule that may stand in it.
 BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
@@ -153,7 +155,8 @@ class Grammar:
         self.names = 0
         self._emit(node, "v", "    ", 0)
         if key is not None:
-            out.append("    M[k] = v")
+            # A full table starts anew: that costs time at most, since results don't depend on it.
+            out += [f"    if len(M) > {TABLE}: M.clear()", "    M[k] = v"]
         out.append("    return v")
 
     def _new(self) -> str:

@@ -87,7 +87,9 @@ def test_depth_costs_no_more_than_length():
     assert parser(".js").valid("a = " + "(" * 5_000 + "b" + ")" * 5_000)
     assert parser(".js").valid("a = " + "b ? " * 3_000 + "c" + " : d" * 3_000)
     assert parser(".js").valid("f(1);\n" * 50_000)
-    assert time.time() - began < 10
+    assert parser(".js").valid("a = [" + "1, 'b', " * 60_000 + "c];")
+    assert not parser(".py").valid("a = [" + "1, 'b', " * 60_000 + "c")
+    assert time.time() - began < 20
 
 
 @pytest.mark.parametrize(
