@@ -22,7 +22,7 @@ EXCERPT_LINES, EXCERPT_BYTES = 200, 1 << 10
 KEYS = ["repository", "path"]
 
 # Parts of paths that are passed over, names that hold credentials, extensions that are text or have a grammar.
-EXCLUDED = ".git .engineering-workflow node_modules .venv venv dist build coverage .pytest_cache .ruff_cache __pycache__ .ssh .aws .azure .gnupg .terraform".split()
+EXCLUDED = ".git node_modules .venv venv dist build coverage .pytest_cache .ruff_cache __pycache__ .ssh .aws .azure .gnupg .terraform".split()
 SENSITIVE = r"^(\.env|\.git-credentials|\.netrc|\.npmrc|\.pypirc|application_default_credentials\.json|credentials\.json|id_dsa|id_ed25519|id_rsa|id_ecdsa|\.env\..*|(credentials|secrets?)(\.[^/]*)?)$|\.(key|p12|pem|pfx|tfstate)$"
 SOURCE = ".py .ts .js .go .java".split()
 TEXTS = ".md .txt .json".split()

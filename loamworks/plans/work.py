@@ -17,7 +17,7 @@ from . import common, retrieval, structure
 from .data_quality import COUNTED
 
 Query = Callable[[SparkSession, str], DataFrame]
-ARM, BASE = "ewf", "ordinary"
+ARM, BASE = "runtime", "ordinary"
 PATHS, DOCUMENTS, TERMS = 20, 12, 20
 ROOT_LIMIT, LIMIT, RANK_BASE = 20, 20, 60
 # Words that say nothing about what a file is for.
