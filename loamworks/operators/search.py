@@ -49,12 +49,17 @@ def symbol_windows(files: DataFrame, symbols: DataFrame) -> DataFrame:
     return cut.join(span, "path").where(F.col("start_line") <= F.size("all")).select("path", "symbol", "start_line", "end_line", F.lit(None).cast("string").alias("heading"), body.alias("body"))
 
 
+def field_tokens(chunks: DataFrame) -> dict[str, Column]:
+    """The tokens of each field of a window."""
+    symbol = F.col("symbol") if "symbol" in chunks.columns else F.lit(None).cast("string")
+    texts = {"path": F.col("path"), "filename": basename(F.col("path")), "symbol": symbol, "heading": F.col("heading"), "body": lexical_body(F.col("body"))}
+    return {n: F.coalesce(tokens(t), F.array().cast("array<string>")) for n, t in texts.items()}
+
+
 def index(chunks: DataFrame) -> DataFrame:
     """(path, start_line, end_line, n_tokens, fields): the tokens of each window by field. Materialised: all that a search reads."""
     symbol = F.col("symbol") if "symbol" in chunks.columns else F.lit(None).cast("string")
-    texts = {"path": F.col("path"), "filename": basename(F.col("path")), "symbol": symbol, "heading": F.col("heading"), "body": lexical_body(F.col("body"))}
-    none = F.array().cast("array<string>")
-    fields = F.array(*(F.struct(F.lit(WEIGHTS[n]).alias("weight"), F.coalesce(tokens(t), none).alias("tokens")) for n, t in texts.items()))
+    fields = F.array(*(F.struct(F.lit(WEIGHTS[n]).alias("weight"), t.alias("tokens")) for n, t in field_tokens(chunks).items()))
     out = chunks.distinct().select("path", symbol.alias("symbol"), "start_line", "end_line", fields.alias("fields"))
     return materialise(out.withColumn("n_tokens", F.aggregate("fields", F.lit(0), lambda n, f: n + F.size(f["tokens"]))), "index")
 

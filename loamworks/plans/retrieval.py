@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import canonical, in_scope
 from ..functions.text import identifier_parts, query_terms
-from ..operators import search
+from ..operators import known_items, search
 from ..session import materialise
 from ..sources.tables import table
 from . import common
@@ -130,7 +130,7 @@ def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
     files = documents(spark, d)
     relevant = files.where("title is not null").select(F.col("title").alias("query_id"), "path")
     queries = relevant.select("query_id", F.col("query_id").alias("query")).distinct()
-    found = search.top(best_of(files, materialise(queries, "titles")), LIMIT, "rank", "path")
+    found = known_items.known_item_positions(search.chunk_windows(files), queries, relevant, LIMIT)
     m = search.retrieval_metrics(found, relevant)
     return m.select("n_queries", *(F.round(c, 6).alias(c) for c in ("recall_1", "recall_5", "recall_10", "mean_reciprocal_rank")))
 
