@@ -27,14 +27,16 @@ from pyspark.sql import functions as F
 
 from ..functions.globs import glob_regex, glob_tuple
 from ..functions.paths import canonical
-from ..session import materialise, ship, small
+from ..session import forget, materialise, ship, small
 from .snapshots import counted_snapshots, file_lines
 
 REFERENCE = ["ref_table", "ref_id", "ref_key"]
 #: Files of one key that one task holds against patterns.
 SALTED = 20_000
-#: Rounds after which the records reached are written as one table.
+#: Rounds after which the records reached are written as one table, and the links without those to records reached.
 MERGED = 8
+#: A record in a broadcast table.
+RECORD_BYTES = 80
 
 
 def symbol_key(key: Column) -> Column:
@@ -178,7 +180,8 @@ def orphan_references(tables: dict[str, DataFrame], max_round: int | None = None
     direct = materialise(direct.distinct(), "direct")
     targets = edge_references(tables["call_edges"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("symbol", F.col("r.repository"), F.col("r.key")).alias("target"))
     more = relation_references(tables["reader_relationships"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("record", F.col("r.repository"), F.col("r.key")).alias("target"))
-    rest = materialise(targets.unionByName(more).where("target is not null").distinct().join(small(direct.select(*REFERENCE), 200), REFERENCE, "left_anti"), "references")
+    # Repeated references are made one when they get their round; before, nothing depends on that.
+    rest = materialise(targets.unionByName(more).where("target is not null").join(small(direct.select(*REFERENCE), 200), REFERENCE, "left_anti"), "references")
     # The graph of records is walked on distinct links; references get their round at the end.
     links = materialise(rest.where("holder is not null").select("target", "holder").distinct(), "links")
     last = materialise(direct.where("holder is not null").select("holder").distinct().select("holder", F.lit(1).alias("round")), "records")
@@ -186,15 +189,18 @@ def orphan_references(tables: dict[str, DataFrame], max_round: int | None = None
     while max_round is None or rounds < max_round:
         rounds += 1
         seen = reduce(DataFrame.unionByName, reached)
-        fresh = links.join(last.select(F.col("holder").alias("target")), "target", "left_semi").select("holder").distinct().join(seen.select("holder"), "holder", "left_anti")
+        fresh = links.join(small(last.select(F.col("holder").alias("target")), RECORD_BYTES), "target", "left_semi").select("holder").distinct().join(small(seen.select("holder"), RECORD_BYTES), "holder", "left_anti")
         last = materialise(fresh.select("holder", F.lit(rounds).alias("round")), "records")
         if last.isEmpty():
             break
         reached.append(last)
         if len(reached) > MERGED:
             reached = [materialise(reduce(DataFrame.unionByName, reached), "records", replaces=reached[:-1])]
-    records = reduce(DataFrame.unionByName, reached).select(F.col("holder").alias("target"), "round")
-    inherited = rest.join(records, "target").groupBy(*REFERENCE, "at").agg(F.min("round").alias("round"))
+            # Links to holders that are reached can't add any.
+            links = materialise(links.join(small(reached[0].select("holder"), RECORD_BYTES), "holder", "left_anti"), "links", replaces=[links])
+    forget(links)
+    records = materialise(reduce(DataFrame.unionByName, reached).select(F.col("holder").alias("target"), "round"), "reached", replaces=[*reached, last])
+    inherited = rest.join(small(records, RECORD_BYTES), "target").groupBy(*REFERENCE, "at").agg(F.min("round").alias("round"))
     return direct.select(*REFERENCE, "at", F.lit(0).alias("round")).distinct().unionByName(inherited)
 
 

@@ -19,8 +19,8 @@ def _orphan_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Round 0 of the cascade; later rounds only add references that no row of this one depends on."""
-    return orphans.orphan_references(_orphan_tables(spark, d), max_round=0).select(*orphans.REFERENCE).distinct()
+    """The direct orphans: what the cascade, run to its fixpoint, has in round 0."""
+    return orphans.orphan_references(_orphan_tables(spark, d)).where("round = 0").select(*orphans.REFERENCE).distinct()
 
 
 def p1_cascade(spark: SparkSession, d: str) -> DataFrame:
