@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 
 def canonical(path: Column) -> Column:
-    """Single ``/`` as separator, no leading ``./``; null stays null."""
-    return F.regexp_replace(F.regexp_replace(path, r"[\\/]+", "/"), r"^(\./)+", "")
+    """Single ``/`` as separator, no leading ``./``; null stays null.
+
+    Only paths that have something to replace, which are few, are held against the expressions.
+    """
+    other = path.contains("\\") | path.contains("//") | F.startswith(path, F.lit("./"))
+    return F.when(other, F.regexp_replace(F.regexp_replace(path, r"[\\/]+", "/"), r"^(\./)+", "")).otherwise(path)
 
 
 def dirname(path: Column) -> Column:

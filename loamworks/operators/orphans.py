@@ -35,6 +35,8 @@ REFERENCE = ["ref_table", "ref_id", "ref_key"]
 SALTED = 20_000
 #: Rounds after which the records reached are written as one table, and the links without those to records reached.
 MERGED = 8
+#: Links are also written anew once the records reached since they were last written are this part of them.
+RENEWED = 1 / 4
 #: A record in a broadcast table.
 RECORD_BYTES = 80
 
@@ -64,16 +66,15 @@ def _missing(refs: DataFrame, lives: DataFrame) -> DataFrame:
 
 
 def edge_references(call_edges: DataFrame) -> DataFrame:
-    """One row per reading of an edge's target: in its own repository, and, with a third part, in the one it names."""
+    """One row per edge with the readings of its target: in its own repository, and, with a third part, in the one it names (else null)."""
     edges = call_edges.where("target_key is not null and not (confidence <=> 'unresolved')")
     head = F.substring_index("target_key", "::", 1)
     rest = F.expr("substring(target_key, length(substring_index(target_key, '::', 1)) + 3)")
     own = F.struct(F.col("repository").alias("repository"), symbol_key(F.col("target_key")).alias("key"))
     other = F.struct(head.alias("repository"), symbol_key(rest).alias("key"))
-    readings = F.when(rest.contains("::"), F.array(own, other)).otherwise(F.array(own))
     return edges.select(
         F.lit("call_edges").alias("ref_table"), F.col("edge_id").alias("ref_id"), F.col("target_key").alias("ref_key"), F.col("captured_at").alias("at"),
-        node("symbol", F.col("repository"), symbol_key(F.col("source_key"))).alias("holder"), readings.alias("readings"),
+        node("symbol", F.col("repository"), symbol_key(F.col("source_key"))).alias("holder"), own.alias("own"), F.when(rest.contains("::"), other).alias("other"),
     )
 
 
@@ -82,16 +83,27 @@ def relation_references(reader_relationships: DataFrame) -> DataFrame:
     return reader_relationships.where("target_id is not null").select(
         F.lit("reader_relationships").alias("ref_table"), F.col("relation_id").alias("ref_id"), F.col("target_id").alias("ref_key"), F.col("captured_at").alias("at"),
         node("record", F.col("repository"), record(F.col("source_id"))).alias("holder"),
-        F.array(F.struct(F.col("repository").alias("repository"), record(F.col("target_id")).alias("key"))).alias("readings"),
+        F.struct(F.col("repository").alias("repository"), record(F.col("target_id")).alias("key")).alias("own"),
     )
 
 
 def _direct_by_lifetime(refs: DataFrame, lives: DataFrame) -> DataFrame:
-    """A reference with several readings is an orphan only if none of them is covered."""
-    single = refs.where(F.size("readings") == 1).select("*", F.col("readings")[0]["repository"].alias("repository"), F.col("readings")[0]["key"].alias("key"))
-    first = refs.where(F.size("readings") == 2).select("*", F.col("readings")[0]["repository"].alias("repository"), F.col("readings")[0]["key"].alias("key"))
-    left = _missing(first, lives).withColumns({"repository": F.col("readings")[1]["repository"], "key": F.col("readings")[1]["key"]})
-    return _missing(single.unionByName(left), lives)
+    """A reference with two readings is an orphan only if neither is covered; the second is tried for what the first leaves over.
+
+    References without a second reading are tried for the first again, which changes nothing, so that their table is read once.
+    """
+    left = _missing(refs.select("*", "own.*").drop("own"), lives)
+    second = {c: F.coalesce(F.col("other")[c], F.col(c)) for c in ("repository", "key")}
+    return _missing(left.withColumns(second), lives) if "other" in refs.columns else left
+
+
+def _targets(refs: DataFrame, kind: str) -> DataFrame:
+    """One row per reference and reading, with the record that it names."""
+    readings = F.array("own")
+    if "other" in refs.columns:
+        readings = F.when(F.col("other").isNotNull(), F.array("own", "other")).otherwise(readings)
+    each = refs.select(*REFERENCE, "at", "holder", F.explode(readings).alias("r"))
+    return each.select(*REFERENCE, "at", "holder", node(kind, F.col("r.repository"), F.col("r.key")).alias("target"))
 
 
 def _glob_columns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,10 +144,11 @@ def held_sources(wanted: DataFrame, files: DataFrame) -> DataFrame:
     tuples = small(materialise(keys.select(*place, "tuple").distinct().join(F.broadcast(kinds), "tuple").groupBy(*place).agg(F.collect_set("t").alias("tuples")), "tuples"), 800)
     hashed = lambda key: F.xxhash64(*place, "tuple", key)
     asked = small(materialise(keys.select(hashed(F.col("tuple_key")).alias("h")).distinct(), "asked"), 24)
-    parts = F.split("path", "/")
-    each = files.join(tuples, place).select(*place, "path", parts.alias("parts"), F.element_at(parts, -1).alias("name"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), F.explode("tuples").alias("t")).select(*place, "path", "parts", "name", "ext", "t.*")
-    deep = F.when(F.col("direct"), F.size("parts") == F.col("depth") + 1).otherwise(F.size("parts") > F.col("depth"))
-    formed = F.when(F.col("tuple") == "path", F.col("path")).when(deep, F.concat_ws("\0", F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"), "kind", F.when(F.col("tail") == 1, F.col("name")).when(F.col("tail") == 2, F.col("ext")).otherwise(F.lit(""))))
+    # What depends on the file alone is worked out before the tuples are unfolded: a select that also explodes would do it for each tuple.
+    read_once = files.join(tuples, place).select(*place, "path", F.size(F.split("path", "/")).alias("parts"), F.substring_index("path", "/", -1).alias("name"), F.regexp_extract("path", r"(\.[^./]+)$", 1).alias("ext"), "tuples")
+    each = read_once.select(*place, "path", "parts", "name", "ext", F.explode("tuples").alias("t")).select(*place, "path", "parts", "name", "ext", "t.*")
+    deep = F.when(F.col("direct"), F.col("parts") == F.col("depth") + 1).otherwise(F.col("parts") > F.col("depth"))
+    formed = F.when(F.col("tuple") == "path", F.col("path")).when(deep, F.concat_ws("\0", F.expr("substring_index(path, '/', depth)"), "kind", F.when(F.col("tail") == 1, F.col("name")).when(F.col("tail") == 2, F.col("ext")).otherwise(F.lit(""))))
     found = each.select(*place, "tuple", formed.alias("tuple_key"), F.when(F.col("unsure"), F.col("path")).alias("path")).where("tuple_key is not null").withColumn("h", hashed(F.col("tuple_key"))).join(asked, "h", "left_semi").drop("h")
     tuple_key = [*place, "tuple", "tuple_key"]
     found = materialise(found.distinct(), "found")
@@ -178,26 +191,32 @@ def orphan_references(tables: dict[str, DataFrame], max_round: int | None = None
     if max_round == 0:  # what holds an orphan changes no reference of its own round
         return direct.select(*REFERENCE, "at", F.lit(0).alias("round")).distinct()
     direct = materialise(direct.distinct(), "direct")
-    targets = edge_references(tables["call_edges"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("symbol", F.col("r.repository"), F.col("r.key")).alias("target"))
-    more = relation_references(tables["reader_relationships"]).select(*REFERENCE, "at", "holder", F.explode("readings").alias("r")).select(*REFERENCE, "at", "holder", node("record", F.col("r.repository"), F.col("r.key")).alias("target"))
+    targets, more = _targets(edge_references(tables["call_edges"]), "symbol"), _targets(relation_references(tables["reader_relationships"]), "record")
     # Repeated references are made one when they get their round; before, nothing depends on that.
     rest = materialise(targets.unionByName(more).where("target is not null").join(small(direct.select(*REFERENCE), 200), REFERENCE, "left_anti"), "references")
-    # The graph of records is walked on distinct links; references get their round at the end.
-    links = materialise(rest.where("holder is not null").select("target", "holder").distinct(), "links")
     last = materialise(direct.where("holder is not null").select("holder").distinct().select("holder", F.lit(1).alias("round")), "records")
-    reached, rounds = [last], 1
+    # The graph of records is walked on distinct links; references get their round at the end. Links to holders that are reached
+    # can't add any, so each time that links are written they are left out, and only records reached since then can come up again.
+    unreached = lambda links, seen: links.join(small(seen.select("holder"), RECORD_BYTES), "holder", "left_anti")
+    links = materialise(unreached(rest.where("holder is not null").select("target", "holder"), last).distinct(), "links")
+    reached, since, new, rounds, n_links = [last], [], 0, 1, links.count()
     while max_round is None or rounds < max_round:
         rounds += 1
-        seen = reduce(DataFrame.unionByName, reached)
-        fresh = links.join(small(last.select(F.col("holder").alias("target")), RECORD_BYTES), "target", "left_semi").select("holder").distinct().join(small(seen.select("holder"), RECORD_BYTES), "holder", "left_anti")
+        fresh = links.join(small(last.select(F.col("holder").alias("target")), RECORD_BYTES), "target", "left_semi").select("holder").distinct()
+        if since:
+            fresh = unreached(fresh, reduce(DataFrame.unionByName, since))
         last = materialise(fresh.select("holder", F.lit(rounds).alias("round")), "records")
-        if last.isEmpty():
+        n = last.count()
+        if not n:
             break
         reached.append(last)
+        since.append(last)
+        new += n
+        if len(reached) > MERGED or new >= RENEWED * n_links:
+            links = materialise(unreached(links, reduce(DataFrame.unionByName, since)), "links", replaces=[links])
+            since, new, n_links = [], 0, links.count()
         if len(reached) > MERGED:
-            reached = [materialise(reduce(DataFrame.unionByName, reached), "records", replaces=reached[:-1])]
-            # Links to holders that are reached can't add any.
-            links = materialise(links.join(small(reached[0].select("holder"), RECORD_BYTES), "holder", "left_anti"), "links", replaces=[links])
+            reached = [materialise(reduce(DataFrame.unionByName, reached), "reached", replaces=reached[:-1])]
     forget(links)
     records = materialise(reduce(DataFrame.unionByName, reached).select(F.col("holder").alias("target"), "round"), "reached", replaces=[*reached, last])
     inherited = rest.join(small(records, RECORD_BYTES), "target").groupBy(*REFERENCE, "at").agg(F.min("round").alias("round"))
