@@ -9,7 +9,7 @@ Summaries are plain rows (group, n, v, rmin, rmax): those of separate files or d
 
 Defined results: null, NaN and negative values are "not measured" and left out; null group values form groups of
 their own; a group without measured values gives no row; repeated rows of one id count once (the last recorded one,
-ties by the greatest values); empty tables give no rows; ties share one value.
+ties by the greatest values, null being the greatest as in the SQL); empty tables give no rows; ties share one value.
 """
 
 from __future__ import annotations
@@ -263,16 +263,17 @@ def percentiles(merged: DataFrame, keys: list[str], quantiles: tuple[float, ...]
 
 
 def once(df: DataFrame, key: str, latest: str, columns: dict[str, Column]) -> DataFrame:
-    """One row per ``key``: of repeated rows the one with the greatest ``latest``, then the greatest values."""
+    """One row per ``key``: of repeated rows the one with the greatest ``latest``, then the greatest values in the order of ``columns``; null is the greatest."""
     fields = list(columns)
-    picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(F.col(latest).alias("_latest"), *(c.alias(n) for n, c in columns.items()))).alias("s"))
+    order = [x for n, c in {"_latest": F.col(latest), **columns}.items() for x in (c.isNull().alias(f"_no_{n}"), c.alias(n))]
+    picked = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*order)).alias("s"))
     return picked.select(*(F.col(f"s.{n}").alias(n) for n in fields))
 
 
 def measured_percentiles(measurements: DataFrame, by_day: bool = False, epsilon: float = EPSILON, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """Percentiles of duration_ms and tool_calls per arm and run_condition, or those of each day; days are combined from their summaries."""
     metrics, keys = ["duration_ms", "tool_calls"], ["metric", "arm", "run_condition"]
-    rows = once(measurements, "run_id", "recorded_at", {"arm": F.col("arm"), "run_condition": F.col("run_condition"), "day": F.to_date("started_at"), **{m: F.col(m) for m in metrics}})
+    rows = once(measurements, "run_id", "recorded_at", {"arm": F.col("arm"), "run_condition": F.col("run_condition"), **{m: F.col(m) for m in metrics}, "day": F.to_date("started_at")})
     parts = materialise(summaries(rows, [*(["day"] if by_day else []), "arm", "run_condition"], metrics, epsilon), "summaries")
     group = [*keys, "day"] if by_day else keys
     return percentiles(combine(parts, group, epsilon), group, quantiles)
@@ -281,7 +282,7 @@ def measured_percentiles(measurements: DataFrame, by_day: bool = False, epsilon:
 def combined_days(measurements: DataFrame, epsilon: float = EPSILON, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """The percentiles of all days, out of the kept summaries of single days only."""
     keys = ["metric", "arm", "run_condition"]
-    rows = once(measurements, "run_id", "recorded_at", {"arm": F.col("arm"), "run_condition": F.col("run_condition"), "day": F.to_date("started_at"), "duration_ms": F.col("duration_ms"), "tool_calls": F.col("tool_calls")})
+    rows = once(measurements, "run_id", "recorded_at", {"arm": F.col("arm"), "run_condition": F.col("run_condition"), "duration_ms": F.col("duration_ms"), "tool_calls": F.col("tool_calls"), "day": F.to_date("started_at")})
     parts = materialise(summaries(rows, ["day", "arm", "run_condition"], ["duration_ms", "tool_calls"], epsilon), "summaries")
     days = materialise(combine(parts, [*keys, "day"], epsilon), "days")
     return percentiles(combine(days, keys, epsilon), keys, quantiles)

@@ -55,3 +55,36 @@ def test_tables(spark):
     assert combined == {k: r.n_values for k, r in found.items()}
     assert all(r.within_bound for r in q.bound_holds(m).collect())
     assert q.measured_percentiles(m.limit(0)).collect() == [] and q.bound_holds(m.limit(0)).collect() == []
+
+
+def test_repeated_rows_that_differ_are_chosen_as_by_the_sql(spark):
+    """One row of a run counts: of equal recorded_at the greatest values, day last, null before all."""
+    from datetime import datetime as t
+
+    import duckdb
+
+    from loamworks.llm.catalog import ORACLE
+
+    a, b = t(2026, 1, 1), t(2026, 1, 2)
+    rows = [
+        (1, "hot", "cold", 90, 1, a, a, None), (1, "hot", "cold", 10, 2, b, a, None),  # the later day has the smaller duration
+        (2, None, "cold", 20, 3, a, a, None), (2, "hot", "cold", 30, 3, a, a, None),
+        (3, "hot", None, 40, 4, a, a, None), (3, "hot", "cold", 50, 4, a, a, None),
+        (4, "warm", "cold", None, 5, a, a, None), (4, "warm", "cold", 60, 6, a, a, None),
+        (5, "hot", "late", 70, 7, a, None, None), (5, "hot", "cold", 80, 8, a, b, None),
+        (6, "cool", "cold", 5, 9, a, a, None), (6, "cool", "cold", 5, 9, b, a, None),
+    ]
+    m = spark.createDataFrame(rows, SCHEMA)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE measurements (run_id BIGINT, arm VARCHAR, run_condition VARCHAR, duration_ms BIGINT, tool_calls INTEGER, started_at TIMESTAMP, recorded_at TIMESTAMP, value VARCHAR)")
+    con.executemany("INSERT INTO measurements VALUES (?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    by = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, q.bound_holds(m).collect()), key=by) == sorted(con.execute(ORACLE["p3_bound"]).fetchall(), key=by)
+
+    expected = {
+        ("duration_ms", "hot", "cold"): 90, ("duration_ms", None, "cold"): 20, ("duration_ms", "hot", None): 40, ("duration_ms", "hot", "late"): 70, ("duration_ms", "cool", "cold"): 5,
+        ("tool_calls", "hot", "cold"): 1, ("tool_calls", None, "cold"): 3, ("tool_calls", "hot", None): 4, ("tool_calls", "warm", "cold"): 5, ("tool_calls", "hot", "late"): 7, ("tool_calls", "cool", "cold"): 9,
+    }
+    for found in (q.measured_percentiles(m), q.combined_days(m)):
+        assert {(r.metric, r.arm, r.run_condition): r.value for r in found.where("quantile = 0.5").collect()} == expected
+    assert {(r.metric, r.day) for r in q.measured_percentiles(m, by_day=True).where("arm = 'cool'").collect()} == {("duration_ms", b.date()), ("tool_calls", b.date())}
